@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, visual
+from . import bpe, mainbody, visual
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each page's main body."""
+    return mainbody.main_body(table(spark, d, "page_fetch"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +33,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+    return {"p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
 
 
 def oracle_sql() -> dict[str, str]:
