@@ -6,10 +6,10 @@ turn to the sources' target shares and to the corpus's own shares of languages a
 source's cap. The quotient of a cell's weight and its tokens is how often each of its documents is expected to be used.
 
 The total is the largest for which no source has to be used more often than allowed; shares of sources without tokens
-are spread over the others in proportion, and the report shows what each got. Documents are then drawn systematically:
-in each bucket of documents, in the order of cell and size, a document is used as often as whole numbers lie in its
-part of the running sum of expectations. So every document is used either the whole number below or above what is
-expected of it, never more than the cap, and sums are exact but for one document a bucket.
+are spread over the others in proportion, and the report shows what each got. Documents are then drawn in buckets of
+bounded size: from large to small each is used the whole number above or below what is expected of it, at random with
+that chance, corrected by the tokens still due. So no document is used more than the cap, and each bucket's sum misses
+its due by no more than its smallest documents.
 
 Null or empty texts have no tokens and aren't used. Documents without source, or of a source without weight, have the
 share 0. Ties in the order are broken by doc_id. Repeated texts are documents of their own. An empty corpus gives no
@@ -69,11 +69,16 @@ def rake(cells: pd.DataFrame, shares: dict[str, float], caps: dict[str, int]) ->
             rows = np.flatnonzero(usable & (values == v))
             for _ in range(20):
                 now = weight[rows].sum()
+                if abs(now - target) <= TOLERANCE * total:
+                    break
+                if now > target:
+                    weight[rows] *= target / now
+                    break
                 free = rows[weight[rows] < cap[rows] * (1 - 1e-12)]
-                fixed = now - weight[free].sum()
-                if abs(now - target) <= TOLERANCE * total or not weight[free].sum():
+                held = weight[free].sum()
+                if not held:
                     break
-                weight[free] = np.minimum(cap[free], weight[free] * max(0.0, target - fixed) / weight[free].sum())
+                weight[free] = np.minimum(cap[free], weight[free] * (target - now + held) / held)
 
     for _ in range(ROUNDS):
         before = weight.copy()
@@ -123,6 +128,26 @@ class Mixture:
         return parts[0].unionByName(parts[1])
 
 
+def _draw(bucket: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """The documents of a bucket that are used, with their uses.
+
+    From the largest class of sizes down, in a random order within a class, each document takes the part of the tokens
+    due so far that it can, rounded at random; what is left over goes on to the next, so the last and smallest settle it.
+    """
+    rows = bucket.sort_values("doc_id", kind="stable")
+    tokens, expected = rows["tokens"].to_numpy(float), rows["expected"].to_numpy(float)
+    keys = pd.util.hash_pandas_object(rows["doc_id"].astype(str) + f"/{seed}", index=False).to_numpy()
+    chance = keys / 2.0**64
+    low, high = np.floor(expected + 1e-9), np.ceil(expected - 1e-9)
+    uses, due = np.zeros(len(rows), np.int32), 0.0
+    for i in np.lexsort((keys, -np.floor(np.log2(tokens)))):
+        due += expected[i] * tokens[i]
+        uses[i] = min(high[i], max(low[i], np.floor(due / tokens[i] + chance[i])))
+        due -= uses[i] * tokens[i]
+    rows = rows.assign(uses=uses)
+    return rows.loc[rows["uses"] > 0, ["doc_id", "source", "lang", "topic", "tokens", "uses"]]
+
+
 def mix(docs: DataFrame, weights: DataFrame, seed: int = 0) -> Mixture:
     """The mixture of docs (doc_id, source, lang, topic, tokens) by weights (source, target_share, max_repeat)."""
     spark: SparkSession = docs.sparkSession
@@ -139,9 +164,5 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = 0) -> Mixture:
     buckets = max(1, int(fitted["docs"].sum()) // BUCKET)
     rows = docs.where("tokens > 0").join(bounded_broadcast(table.where("expected > 0").select("source", "lang", "topic", "expected")), ["source", "lang", "topic"])
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets).cast("long")))
-    order = W.partitionBy("source", "bucket").orderBy("tokens", "lang", "topic", "doc_id")
-    start = F.pmod(F.xxhash64(F.lit(seed), "source", "bucket"), F.lit(1_000_000).cast("long")) / 1e6
-    upto = F.sum("expected").over(order.rowsBetween(W.unboundedPreceding, 0)) + start
-    drawn = rows.withColumn("upto", F.floor(F.round(upto, 9))).withColumn("uses", F.col("upto") - F.coalesce(F.lag("upto").over(order), F.floor(start)))
-    used = drawn.where("uses > 0").select("doc_id", "source", "lang", "topic", "tokens", F.col("uses").cast("int").alias("uses"))
+    used = rows.select("doc_id", "source", "lang", "topic", "tokens", "expected", "bucket").groupBy("source", "bucket").applyInPandas(lambda b: _draw(b, seed), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, topic string, tokens long, uses int")
     return Mixture(used, targets, table)
