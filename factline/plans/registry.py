@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, problems_sql
+from . import matching_queries, problems, problems_sql
+
+CATALOGS = (matching_queries.catalog,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    found = dict(problems.QUERIES)
+    for c in CATALOGS:
+        found |= c.queries
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems_sql.SQL)
+    found = dict(problems_sql.SQL)
+    for c in CATALOGS:
+        found |= c.sql
+    return found
