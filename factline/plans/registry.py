@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching_queries, problems, problems_sql
+from . import claims_queries, matching_queries, problems, problems_sql, text_queries
 
-CATALOGS = (matching_queries.catalog,)
+CATALOGS = (matching_queries.catalog, claims_queries.catalog, text_queries.catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
