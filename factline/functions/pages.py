@@ -44,6 +44,8 @@ def squeeze(text: str) -> str:
 class _Reader(HTMLParser):
     """Visible text, title, links, meta values, headings, paragraphs and times of a page."""
 
+    INLINE = frozenset(("a", "b", "i", "em", "strong", "span", "small", "sup", "sub"))
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.text: list[str] = []
@@ -70,10 +72,12 @@ class _Reader(HTMLParser):
             self._open[tag] = []
             if tag == "a":
                 self._href = a.get("href", "")
-        if tag not in ("a", "b", "i", "em", "strong", "span"):
+        if tag not in self.INLINE:
             self.text.append("\n")
 
     def handle_endtag(self, tag) -> None:
+        if tag not in self.INLINE:
+            self.text.append("\n")
         if tag in ("script", "style", "noscript", "template"):
             self._hidden = max(0, self._hidden - 1)
         parts = self._open.pop(tag, None)

@@ -97,8 +97,9 @@ def json_rows(spark: SparkSession, path: str, schema: T.StructType | str, missin
             raise FileNotFoundError(path)
         return spark.createDataFrame([], schema)
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").drop("_bad")
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
+    return rows.where("r is not null and r._bad is null").select(*[F.col(f"r.{n}").alias(n) for n in schema.fieldNames()])
 
 
 def position_rows(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
