@@ -116,7 +116,8 @@ class Transducer:
                 return s
             return self.single[s] if s in self.single else self._cluster(s)
 
-        return (self._pattern if self._marks.search(text) else self._plain).sub(one, text)
+        out = (self._pattern if self._marks.search(text) else self._plain).sub(one, text)
+        return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)  # syllables of letters that aren't accents
 
     @staticmethod
     def _shows(before: str, after: str) -> bool:
