@@ -1,7 +1,7 @@
 """Deeply nested records as related flat tables, by Merkle subtree identities.
 
-Objects are canonicalised and hashed bottom-up: an object's identity is the SHA-256 of its scalar members (in order of
-their names) and of its children's identities, so equal subtrees have one identity wherever they occur. ``objects``
+Objects are canonicalised and hashed bottom-up: an object's identity is the first 128 bits of the SHA-256 of its scalar members
+(in order of their names) and of its children's identities, so equal subtrees have one identity wherever they occur. ``objects``
 stores each identity once; ``bridge`` keeps every occurrence of a child in its parent by member name and ordinal, null
 elements included; ``roots`` links each record's key to its root.
 
@@ -13,15 +13,15 @@ roots: the record's key, root. A null record has no row; text that isn't JSON be
 
 Depth is bounded only by the JSON parser; a record that it refuses is kept as a scalar of its text. Doubles are
 compared by their shortest text, member order and spacing don't matter, of repeated members the last holds. Repeats
-are reduced where they are read and again by map-side aggregation. Hashes that many parents share are joined with
-``hot_join``, which gives no task more than its share.
+are reduced where they are read and again by map-side aggregation. Identities that very many parents share are found
+once, and joined in parts (``hot_join``).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .skew import hot_join
+from .skew import hot_join, hot_keys
 
 EMPTY = -2
 SINGLE = -1
@@ -40,7 +40,7 @@ def _dumps(value: Any) -> str:
 
 
 def _sha(kind: str, content: str, children: list[tuple[str, int, str | None]]) -> str:
-    return hashlib.sha256("\x1e".join([kind, content, *(f"{m}\x1f{o}\x1f{c or ''}" for m, o, c in children)]).encode("utf-8", "surrogatepass")).hexdigest()
+    return hashlib.sha256("\x1e".join([kind, content, *(f"{m}\x1f{o}\x1f{c or ''}" for m, o, c in children)]).encode("utf-8", "surrogatepass")).hexdigest()[:32]
 
 
 def walk(value: Any, objects: dict[str, tuple[str, str, list[tuple[str, int, str | None]]]]) -> str:
@@ -122,8 +122,8 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Shredded:
     """The three tables of shred()."""
 
-    def __init__(self, roots: DataFrame, objects: DataFrame, bridge: DataFrame):
-        self.roots, self.objects, self.bridge = roots, objects, bridge
+    def __init__(self, roots: DataFrame, objects: DataFrame, bridge: DataFrame, hot: Sequence[str] = ()):
+        self.roots, self.objects, self.bridge, self.hot = roots, objects, bridge, hot
 
     def under(self, parents: DataFrame, at: str, member: str, child: str, ordinal: str | None = None) -> DataFrame:
         """parents with each child by that member, in the columns child and ordinal; parents without it drop out.
@@ -133,12 +133,12 @@ class Shredded:
         """
         rows = self.bridge.where((F.col("member") == member) & F.col("child").isNotNull())
         rows = rows.select(F.col("parent").alias(at), F.greatest(F.col("ordinal"), F.lit(0)).alias(ordinal or "_o"), F.col("child").alias(child))
-        return hot_join(parents, rows, at).drop("_o")
+        return hot_join(parents, rows, at, self.hot).drop("_o")
 
     def content(self, parents: DataFrame, at: str, name: str, condition: Column) -> DataFrame:
         """parents with the content of the object in the column at; condition is on kind and content."""
         rows = self.objects.where(condition).select(F.col("hash").alias(at), F.col("content").alias(name))
-        return hot_join(parents, rows, at)
+        return hot_join(parents, rows, at, self.hot)
 
 
 def shred(records: DataFrame, key: str, body: str, name: str = "shredded") -> Shredded:
@@ -149,7 +149,8 @@ def shred(records: DataFrame, key: str, body: str, name: str = "shredded") -> Sh
     roots = rows.where("part = 'root'").select(F.col("key"), F.col("child").alias("root"))
     objects = rows.where("part = 'object'").groupBy(F.col("key").alias("hash")).agg(F.min("kind").alias("kind"), F.min("content").alias("content"))
     bridge = rows.where("part = 'bridge'").select(F.col("key").alias("parent"), "member", "ordinal", "child").distinct()
-    return Shredded(roots, objects, bridge)
+    hot = hot_keys(rows.where("part <> 'object'"), "child")  # identities that occur very often
+    return Shredded(roots, objects, bridge, hot)
 
 
 def latest_body(rows: DataFrame, key: str, at: str, body: str) -> DataFrame:

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Copies of the few-rowed side, and parts of each key of the many-rowed side.
-SALTS = 8
+#: Parts of a hot key's rows, and copies of the rows that join to it.
+SALTS = 16
+#: A key is hot with more rows than this; the most frequent so many keys are looked at. With N rows in all, a key
+#: beyond them has at most N / MOST_KEYS, which any task can take that takes its share of N.
+HOT_ROWS = 100_000
+MOST_KEYS = 256
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS) -> list[Any]:
+    """The keys with more than least rows, at most MOST_KEYS of them; counts are combined on the map side.
+
+    rows are scanned once, so they should be a written table.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    return [r[key] for r in counts.where(F.col("count") > least).orderBy(F.desc("count"), key).limit(MOST_KEYS).collect()]
 
 
-def hot_join(many: DataFrame, few: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """Inner join in which each key of many is spread over salts partitions.
+def hot_join(many: DataFrame, few: DataFrame, key: str, hot: Sequence[Any] | None = None, salts: int = SALTS) -> DataFrame:
+    """Inner join in which the rows of many with a hot key are spread over salts partitions.
 
-    few has a bounded number of rows for each key (a table of identities, say) and is repeated for each salt; the salt
-    of a row of many is its hash, so it is the same when a lost task is run again. Null keys match nothing.
+    The rows of few with a hot key are repeated for each salt; all others meet as in any join. hot are the keys of
+    hot_keys(many, key), which is asked where none are given. The salt of a row is its hash, so it is the same when a
+    lost task is run again. Null keys match nothing.
     """
+    if hot is None:
+        hot = hot_keys(many, key)
+    if not hot:
+        return many.join(few, key)
+    is_hot = F.col(key).isin(*hot)
     others = [c for c in many.columns if c != key]
-    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
-    left = many.withColumn("_salt", salt)
-    right = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).otherwise(0) if others else F.lit(0)
+    every = F.array(*[F.lit(i) for i in range(salts)])
+    right = few.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    return many.withColumn("_salt", salt).join(right, [key, "_salt"]).drop("_salt")

@@ -8,8 +8,11 @@ from factline.operators import choosing, matching, skew, stats
 def test_hot_join_is_an_inner_join(spark):
     many = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(900)] + [(None, -1)], "k string, i int")
     few = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k3", "c"), (None, "d")], "k string, x string")
-    a = sorted(map(tuple, skew.hot_join(many, few, "k").select("k", "i", "x").collect()))
-    assert a == sorted(map(tuple, many.join(few, "k").select("k", "i", "x").collect())) and len(a) == 1201
+    assert skew.hot_keys(many, "k", 100) == ["hot"] and skew.hot_keys(many, "k") == []
+    want = sorted(map(tuple, many.join(few, "k").select("k", "i", "x").collect()))
+    assert len(want) == 1201
+    for hot in (None, [], ["hot"], ["hot", "k3"]):
+        assert sorted(map(tuple, skew.hot_join(many, few, "k", hot).select("k", "i", "x").collect())) == want
 
 
 def test_token_overlap_against_brute_force(spark):
