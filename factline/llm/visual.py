@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..operators.skew import hot_join
+from ..operators.skew import HOT_ROWS, MOST_KEYS, hot_join
 from ..runtime import materialize
 
 # Letters of other scripts and letter-like signs with the Latin letters that they look like.
@@ -83,16 +83,14 @@ class Transducer:
         for t in {*single.values(), *accented.values()}:
             if "".join(single.get(c, c) for c in t) != t:
                 raise ValueError(f"the target {t!r} isn't its own")
-        every = "".join(map(re.escape, marks))
         hidden = "".join(map(re.escape, INVISIBLE))
-        shown = "".join(map(re.escape, sorted(single)))
-        arabic, picture = "\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff", "\u2190-\u2bff\ufe0f\U0001f000-\U0001faff"
-        self._pattern = re.compile(
-            f"(?<=[{picture}])\u200d(?=[{picture}])|(?<=[{arabic}])[{JOINERS}](?=[{arabic}])"  # these show
-            f"|\r\n?|[^{every}\r\n](?:[{hidden}]*[{every}])+|[{shown}]"
-        )
-        self._marks = re.compile(f"[{every}]")
-        self._plain = re.compile(f"\r\n?|[{shown}]")  # for texts without accents of their own, the usual case
+        # sets of signs below 2**16 are looked up at once, others one by one: texts that have none need only the former
+        self._far = re.compile("[\U00010000-\U0010ffff]")
+        self._tables = []
+        for top in (0xFFFF, sys.maxunicode):
+            shown = "".join(re.escape(c) for c in sorted(single) if ord(c) <= top)
+            every = "".join(re.escape(c) for c in marks if ord(c) <= top)
+            self._tables.append((re.compile(f"[{every}]"), re.compile(f"[{shown}]"), re.compile(f"[^{every}](?:[{hidden}]*[{every}])+|[{shown}]")))
         self._cluster = lru_cache(200_000)(self._map)
 
     def _map(self, cluster: str) -> str:
@@ -105,18 +103,19 @@ class Transducer:
         return unicodedata.normalize("NFC", parts)
 
     def apply(self, text: str) -> str:
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
         if text.isascii():
-            return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+            return text
 
         def one(m: re.Match[str]) -> str:
             s = m.group()
-            if s[0] == "\r":
-                return "\n"
             if s in JOINERS and m.end() < len(text) and m.start() and self._shows(text[m.start() - 1], text[m.end()]):
                 return s
             return self.single[s] if s in self.single else self._cluster(s)
 
-        out = (self._pattern if self._marks.search(text) else self._plain).sub(one, text)
+        marks, plain, accented = self._tables[bool(self._far.search(text))]
+        out = (accented if marks.search(text) else plain).sub(one, text)  # most texts have no accents of their own
         return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)  # syllables of letters that aren't accents
 
     @staticmethod
@@ -155,12 +154,14 @@ def same_looking(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     formed = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null")
     formed = formed.withColumn("form", one_form("text"))
     keys = materialize(formed.where(~blank(F.col("form"))).select("doc_id", F.md5("form").alias("form"), F.md5("text").alias("raw")).distinct(), "forms")
-    classes = keys.groupBy("form", "raw").agg(F.lit(1).alias("n"))
-    several = classes.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    classes = classes.join(several, "form", "left_semi").drop("n")
+    classes = keys.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    several = classes.groupBy("form").agg(F.count("*").alias("classes")).where("classes > 1").select("form")
+    classes = materialize(classes.join(several, "form", "left_semi"), "classes")
     members = keys.join(several, "form", "left_semi").select("doc_id", "raw")
     other = classes.select("form", F.col("raw").alias("other"))
-    pairs = classes.join(other, "form").where("raw < other").select("raw", "other")
-    left = hot_join(members.withColumnRenamed("doc_id", "a"), pairs, "raw").select("a", F.col("other").alias("raw"))
-    both = hot_join(left, members.withColumnRenamed("doc_id", "b"), "raw")
+    pairs = classes.join(other, "form").where("raw < other").select("raw", "other", "n")
+    met = pairs.groupBy(F.col("other").alias("raw")).agg(F.sum("n").alias("n"))  # rows of the first join for each class
+    first, second = ([r["raw"] for r in c.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "raw").limit(MOST_KEYS).collect()] for c in (classes, met))
+    left = hot_join(members.withColumnRenamed("doc_id", "a"), pairs.drop("n"), "raw", first).select("a", F.col("other").alias("raw"))
+    both = hot_join(left, members.withColumnRenamed("doc_id", "b"), "raw", second)
     return both.select(F.least("a", "b").alias("doc_id_1"), F.greatest("a", "b").alias("doc_id_2")).where("doc_id_1 < doc_id_2").distinct()
