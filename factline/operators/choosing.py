@@ -35,11 +35,17 @@ def compact(log: DataFrame, key: str, order: Sequence[Column], status: str, live
     return last_wins(log, [key], *order).where(F.col(status) == live)
 
 
-def top(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: Column | int) -> DataFrame:
-    """At most limit rows of each key, with their rank; limit may be a column."""
+def top(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: Column | int, most: int | None = None) -> DataFrame:
+    """At most limit rows of each key, with their rank.
+
+    limit may be a column; most is then the largest that it can be. By that literal Spark cuts each key's rows in
+    every task before they are shuffled, so a hot key sends only most rows from each.
+    """
     w = W.partitionBy(*keys).orderBy(*order)
-    bound = limit if isinstance(limit, Column) else F.lit(limit)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= bound)
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    if not isinstance(limit, Column):
+        return ranked.where(F.col("rank") <= limit)
+    return (ranked.where(F.col("rank") <= most) if most is not None else ranked).where(F.col("rank") <= limit)
 
 
 def hash_rank(key: Column, seed: int | str, salt: str = "") -> Column:
@@ -70,17 +76,25 @@ def round_robin(rows: DataFrame, bucket: str, key: str, seed: int | str, total:
 
 def priority_dedup(rows: DataFrame, keys: Sequence[str], item: str, priority: str, seen: str) -> DataFrame:
     """One row for each item of the keys: the lowest priority, then the first seen; position is where it was first seen."""
-    w = W.partitionBy(*keys, item)
-    best = rows.withColumn("position", F.min(seen).over(w)).withColumn("_r", F.row_number().over(w.orderBy(priority, seen)))
-    return best.where("_r = 1").drop("_r")
+    rest = [c for c in rows.columns if c not in (*keys, item)]
+    best = F.min(F.struct(F.col(priority).alias("_p"), F.col(seen).alias("_s"), F.struct(*rest).alias("_r"))).alias("_b")
+    return rows.groupBy(*keys, item).agg(best, F.min(seen).alias("position")).select(*keys, item, *[F.col(f"_b._r.{c}").alias(c) for c in rest], "position")
 
 
 def first_success(rows: DataFrame, keys: Sequence[str], order: str, verdict: str, unconfirmed: str) -> DataFrame:
-    """For each key the first row that is exact, else the first related; once a row is unconfirmed only strict ones count.
+    """For each key the first row that is exact, else the first related; after an unconfirmed row only strict ones count.
 
-    rows also have strict, whether the row meets the higher bar.
+    rows also have strict, whether the row meets the higher bar; order is unique in a key. Of rows that aren't strict
+    only the first of a verdict matters, and it counts unless an unconfirmed row came before, so one aggregation tells.
     """
-    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    barred = F.coalesce(F.max(F.col(unconfirmed).cast("int")).over(before), F.lit(0)) == 1
-    kept = rows.withColumn("_bar", barred).where(F.col(verdict).isin("exact", "related") & (~F.col("_bar") | F.col("strict"))).drop("_bar")
-    return first_wins(kept, keys, (F.col(verdict) == "related").cast("int"), F.col(order))
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+    packed = F.struct(order, *rest)
+    firsts = {f"_{v}_{s}": F.min(F.when((F.col(verdict) == v) & (F.coalesce("strict", F.lit(False)) == s), packed)) for v in ("exact", "related") for s in (True, False)}
+    sums = rows.groupBy(*keys).agg(F.min(F.when(F.col(unconfirmed), F.col(order))).alias("_bar"), *[a.alias(n) for n, a in firsts.items()])
+
+    def best(v: str) -> Column:
+        loose = F.col(f"_{v}_False")
+        return F.least(F.col(f"_{v}_True"), F.when(F.col("_bar").isNull() | (loose[order] <= F.col("_bar")), loose))
+
+    hit = sums.select(*keys, F.coalesce(best("exact"), best("related")).alias("_b")).where("_b is not null")
+    return hit.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in (order, *rest)])

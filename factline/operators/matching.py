@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .skew import hot_join
 
 
@@ -57,9 +58,10 @@ def token_overlap(left: DataFrame, right: DataFrame, least: float = 0.6) -> Data
     a = left.where(F.size("tokens") > 0).select("a", F.col("tokens").alias("ta"))
     b = right.where(F.size("tokens") > 0).select("b", F.col("tokens").alias("tb"))
     one = a.select(F.col("a").alias("id"), F.lit("a").alias("side"), F.col("ta").alias("t")).unionByName(b.select(F.col("b").alias("id"), F.lit("b").alias("side"), F.col("tb").alias("t")))
-    spread = one.select("id", "side", F.size("t").alias("n"), F.explode("t").alias("w"))
+    spread = materialize(one.select("id", "side", F.size("t").alias("n"), F.explode("t").alias("w")), "words")
     often = spread.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = spread.join(often, "w").withColumn("r", F.row_number().over(W.partitionBy("side", "id").orderBy("df", "w")))
+    ranked = hot_join(spread, often, "w").withColumn("r", F.row_number().over(W.partitionBy("side", "id").orderBy("df", "w")))
+    ranked = materialize(ranked, "ranked-words")
     rare = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
     xa, xb = ranked.where("side = 'a'"), ranked.where("side = 'b'")
     ra, rb = rare.where("side = 'a'"), rare.where("side = 'b'")

@@ -5,22 +5,35 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import bounded_broadcast, materialize
+
+
+#: Parts of a group's range of values in the search for a rank.
+BINS = 1024
+
 
 def nearest_ranks(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """keys, share and the value at the half-even rounded rank share * (n - 1) of the ordered values.
+    """keys, share and the number at the half-even rounded rank share * (n - 1) of a group's ordered values.
 
-    Values are counted first, so a hot key sorts its distinct values only, and running counts find the ranks.
+    Equal values are counted together first. A histogram of BINS parts of each group's range tells the part that holds
+    a rank, and only the values of that part are ordered, so no task orders a whole group. Nulls don't count.
     """
-    from pyspark.sql import Window as W
-
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*keys)
-    run = counts.withColumn("_to", F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
-    wantd = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), (F.bround(F.lit(float(s)) * (F.col("_all") - 1), 0) + 1).alias("rank")) for s in shares]))
-    hit = run.withColumn("_w", wantd).where((F.col("_w.rank") <= F.col("_to")) & (F.col("_w.rank") > F.col("_to") - F.col("_n")))
-    return hit.select(*keys, F.col("_w.share").alias("share"), F.col(value))
+    counts = materialize(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), "counts")
+    ranges = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_all"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (BINS - 1))).otherwise(F.lit(0).cast("long"))
+    parted = counts.join(bounded_broadcast(ranges), list(keys)).withColumn("_part", part)
+    run = parted.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n"), F.first("_all").alias("_all"))
+    run = run.withColumn("_to", F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), (F.bround(F.lit(float(s)) * (F.col("_all") - 1), 0) + 1).alias("rank")) for s in shares]))
+    hit = run.withColumn("_w", wanted).where((F.col("_w.rank") <= F.col("_to")) & (F.col("_w.rank") > F.col("_to") - F.col("_n")))
+    hit = hit.select(*keys, "_part", F.col("_w.share").alias("share"), (F.col("_w.rank") - F.col("_to") + F.col("_n")).alias("_rank"))
+    inner = parted.select(*keys, "_part", value, "_n").join(bounded_broadcast(hit), [*keys, "_part"])
+    upto = F.sum("_n").over(W.partitionBy(*keys, "share").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    found = inner.withColumn("_to", upto).where((F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_n")))
+    return found.select(*keys, "share", value)
 
 
 def counts_of(rows: DataFrame, names: dict[str, str]) -> DataFrame:

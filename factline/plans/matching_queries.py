@@ -278,7 +278,7 @@ def topk_per_tier(t) -> DataFrame:
     """Best rows of each key, as many as its tier allows."""
     cap = F.when(F.col("c_mktsegment") == "BUILDING", 8).when(F.col("c_mktsegment") == "MACHINERY", 5).otherwise(3)
     rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return choosing.top(rows, ["o_custkey"], [F.desc("o_totalprice"), F.desc("o_orderkey")], cap).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+    return choosing.top(rows, ["o_custkey"], [F.desc("o_totalprice"), F.desc("o_orderkey")], cap, 8).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
