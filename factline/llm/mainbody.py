@@ -8,7 +8,7 @@ without the lines in it that weigh nothing. The surge nearest to the page's head
 is the heaviest.
 
 Footer text that a host repeats under different headlines is told from the body by counting, over all pages, under how
-many headlines each of a host's lines occurs; counts are aggregated on the map side, so a hot host is no hot task.
+many headlines each of a host's blocks occurs; counts are aggregated on the map side, so a hot host is no hot task.
 
 Null or empty text: no lines. Null html: the lines' weights come from the text alone. Repeated pages are one headline.
 A page of any length is handled in time proportional to its lines.
@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ SURGE = 40
 #: Characters that a body without any headline needs on a page with markup.
 HEAVY = 400
 #: Lines at the end of a body that may be a footer's text, to be looked up among the host's repeated lines.
-TAIL = 3
+TAIL = 6
 LONG = 40
 
 # Phrases of cookie notices, teasers and footers, in Norwegian (both forms) and English.
@@ -51,12 +52,18 @@ FOOTER = (
     r"(?-i:^[A-ZÆØÅ][\w .&'-]+ (?:AS|ASA|ENK|DA|ANS|SA|BA|NUF|KS), [A-ZÆØÅ][\w -]+$)", r"^this site was", r"^last updated", r"^phone [\d +]+$", r"^[\w .'-]+ \d+, \d{4} [\w -]+$", r"^kopiering krever",
 )
 TEASER = (
-    "les også", "les òg", "siste nytt", "populært nå", "populært no", "relaterte saker", "andre kjøpte også", "andre kjøpte òg", "latest news", "read also", "related", "related stories", "popular now", "most read", "others also bought", "you may also like",
+    "les også", "les òg", "les meir", "les mer", "siste nytt", "populært nå", "populært no", "relaterte saker", "andre kjøpte også", "andre kjøpte òg", "latest news", "read also", "read next", "related", "related stories", "popular now", "most read", "others also bought", "you may also like",
+)
+
+NAVIGATION = (
+    "hjem", "om oss", "kontakt oss", "kontakt", "priser", "ansatte", "tjenester", "produkter", "prosjekter", "aktuelt", "nettbutikk", "min side", "bestill time", "åpningstider", "ledige stillinger",
+    "heim", "tenester", "produkt", "opningstider", "home", "about", "contact", "services", "our work", "pricing", "careers", "shop", "news", "people",
 )
 
 _COOKIE = re.compile("|".join(map(re.escape, COOKIE)), re.I)
 _FOOTER = re.compile("|".join(FOOTER), re.I)
 _BUTTONS = frozenset(BUTTONS)
+_NAVIGATION = frozenset(NAVIGATION)
 _PATH = re.compile(r"\s[»|/>›·]\s|\s{2,}")
 _DOTS = re.compile(r"[\s:…. ]+$")
 _BULLET = re.compile(r"^\s*(?:[•*·–-]|\d+[.)])\s+")
@@ -121,9 +128,12 @@ def strip_markup(page: str) -> list[tuple[str, bool, str, str]]:
     return out
 
 
-def align(lines: Sequence[str], blocks: list[tuple[str, bool, str, str]]) -> list[tuple[bool, str, str] | None]:
-    """For each text line the block that it is, or is a part of, in the blocks' order; None where there is none."""
-    out: list[tuple[bool, str, str] | None] = []
+def align(lines: Sequence[str], blocks: list[tuple[str, bool, str, str]]) -> list[tuple[bool, str, str, str] | None]:
+    """For each text line the block that it is, or is a part of, in the blocks' order; None where there is none.
+
+    A block is given as link, container, tag and text.
+    """
+    out: list[tuple[bool, str, str, str] | None] = []
     at, used = 0, 0
     for line in lines:
         text = " ".join(line.split())
@@ -144,7 +154,7 @@ def align(lines: Sequence[str], blocks: list[tuple[str, bool, str, str]]) -> lis
             at, used = found + 1, 0
         else:
             at = found
-        out.append(blocks[found][1:])
+        out.append((*blocks[found][1:], blocks[found][0]))
     return out
 
 
@@ -166,15 +176,17 @@ def _sentences(text: str) -> int:
     return len(re.findall(r"[.!?]”?»?(?:\s|$)", text))
 
 
-def main_lines(text: str, page: str | None, title: str | None) -> tuple[list[int], bool, str]:
-    """Line numbers of the main body, whether its end is only told by the text (no container), and the headline."""
+def main_lines(text: str, page: str | None, title: str | None) -> tuple[list[int], bool, str, dict[int, str]]:
+    """Line numbers of the main body, whether its end is only told by the text (no container), the headline, and for
+    each line that isn't blank the whole block that it is a part of."""
     raw = text.split("\n")
     numbers = [i for i, line in enumerate(raw) if line.strip()]
     lines = [raw[i].strip() for i in numbers]
     if not lines:
-        return [], False, ""
+        return [], False, "", {}
     blocks = strip_markup(page) if page else []
     marks = align(lines, blocks) if blocks else [None] * len(lines)
+    whole = {n: m[3] if m else " ".join(line.split()) for n, m, line in zip(numbers, marks, lines, strict=True)}
     headline = headline_of(title)
     start = next((i for i, m in enumerate(marks) if m and m[2] == "h1"), None)
     if start is None and headline:
@@ -193,7 +205,9 @@ def main_lines(text: str, page: str | None, title: str | None) -> tuple[list[int
                 homes.discard(m[1])
         homes -= {m[1] for m in marks[:start] if m and m[1] != home}
     weights, teaser = [], 0
-    for line, m in zip(lines, marks, strict=True):
+    for i, (line, m) in enumerate(zip(lines, marks, strict=True)):
+        if i == start:
+            teaser = 0
         low = _DOTS.sub("", line.lower())
         plain = re.sub(r"\s*(?:\(her\)|[›*])$", "", low)
         w = len(line)
@@ -203,7 +217,9 @@ def main_lines(text: str, page: str | None, title: str | None) -> tuple[list[int
             w, teaser = 0, 6
         elif len(_PATH.findall(line)) >= 2 and not re.search(r"[.!?]$", line) or re.search(r"\s[»/>›]\s", line) and not re.search(r"[.!?]$", line):
             w = 0
-        elif teaser and not m:
+        elif start is None and plain in _NAVIGATION:
+            w = 0
+        elif teaser and not m and i != start:
             teaser -= 1
             if _OPEN_END.search(line) or (_sentences(line) <= 1 and len(line) < 110 and line[:1] not in "«\"•-*"):
                 w = 0
@@ -230,7 +246,7 @@ def main_lines(text: str, page: str | None, title: str | None) -> tuple[list[int
         segments.append((i, end))
         i = max(end, j if j < n and edges[j] else end)
     if not segments:
-        return [], False, headline
+        return [], False, headline, whole
     if start is not None:
         kept = []
         for a, b in segments:
@@ -247,16 +263,14 @@ def main_lines(text: str, page: str | None, title: str | None) -> tuple[list[int
         best = max(segments, key=lambda s: sum(weights[s[0] : s[1]]))
         kept = [best] if not blocks or sum(weights[best[0] : best[1]]) >= HEAVY else []
     picked = [i for a, b in kept for i in range(a, b) if weights[i] and not (contained and marks[i] and marks[i][1] not in homes)]
-    return [numbers[i] for i in picked], not contained, headline or (lines[start] if start is not None else "")
+    return [numbers[i] for i in picked], not contained, headline or (lines[start] if start is not None else ""), whole
 
 
 _ROWS = "page_id long, line_no int, kept boolean, tail boolean, host string, headline string, line long"
 
 
-def _hash(line: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(" ".join(line.split())) - (1 << 63)
+def _hash(block: str) -> int:
+    return xxhash.xxh64_intdigest(block) - (1 << 63)
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,12 +278,12 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for page_id, host, page, text, title in batch.itertuples(index=False, name=None):
-            kept, open_end, headline = main_lines(text, page, title)
+            kept, open_end, headline, whole = main_lines(text, page, title)
             inside, tail = set(kept), set(kept[-TAIL:]) - set(kept[:1]) if open_end else set()
-            for i, line in enumerate(text.split("\n")):
-                long = len(line) >= LONG
+            for i, block in whole.items():
+                long = len(block) >= LONG
                 if i in inside or long:
-                    out.append((page_id, i, i in inside, i in tail, host, headline, _hash(line) if long else None))
+                    out.append((page_id, i, i in inside, i in tail, host, headline, _hash(block) if long else None))
         frame = pd.DataFrame(out, columns=["page_id", "line_no", "kept", "tail", "host", "headline", "line"])
         yield frame.astype({"page_id": "int64", "line_no": "int32", "kept": bool, "tail": bool}).astype({"line": "Int64"})
 

@@ -15,7 +15,7 @@ def test_with_markup_containers_bound_the_body():
 
 
 def test_text_alone_begins_at_the_headline_and_ends_at_the_footer():
-    got, open_end, headline = M.main_lines(TEXT, None, TITLE)
+    got, open_end, headline, _ = M.main_lines(TEXT, None, TITLE)
     assert {3, 4, 5} <= set(got) <= {3, 4, 5, 8, 9} and open_end and headline == "En sak om fisk"
 
 
