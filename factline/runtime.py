@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -22,9 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_kept: set[str] = set()
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/factline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; all of an application's go when its driver ends, or with clean_up."""
+    folder = f"{shared_dir(spark)}/factline/{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        _kept.add(folder)
+        atexit.register(clean_up, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_up(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete the tables that this application has written; DataFrames that read them can't be used after that."""
+    for path in [folder] if folder else list(_kept):
+        _kept.discard(path)
+        try:
+            if spark.sparkContext._jsc is not None:
+                remove_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone already
+            continue
 
 
 def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
