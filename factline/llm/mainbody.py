@@ -65,10 +65,11 @@ _FOOTER = re.compile("|".join(FOOTER), re.I)
 _BUTTONS = frozenset(BUTTONS)
 _NAVIGATION = frozenset(NAVIGATION)
 _PATH = re.compile(r"\s[»|/>›·]\s|\s{2,}")
-_DOTS = re.compile(r"[\s:…. ]+$")
+_DOTS = " \t\xa0:….\r"
 _BULLET = re.compile(r"^\s*(?:[•*·–-]|\d+[.)])\s+")
 _OPEN_END = re.compile(r"(?:les mer|les meir|read more|…)\s*$|fra kr \d+\s*$", re.I)
-_TOKEN = re.compile(r"<!--.*?-->|<(script|style|head)\b.*?</\1\s*>|<(/?)([a-zA-Z][\w-]*)[^>]*>|([^<]+)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)")
+_CLOSING = {n: re.compile(f"</{n}\\s*>", re.I) for n in ("script", "style", "head")}
 #: Elements that part text into blocks, those that hold others, and those whose text isn't the page's own.
 _INLINE = frozenset("strong em b i span small sup sub u abbr code mark font img wbr".split())
 _HOLDERS = frozenset("header nav main aside footer dialog section article td th tr table body ul ol form".split())
@@ -93,20 +94,36 @@ def strip_markup(page: str) -> list[tuple[str, bool, str, str]]:
             out.append((text, link > 0, holders[-1], tag))
         parts.clear()
 
-    for m in _TOKEN.finditer(page):
-        name, text = m.group(3), m.group(4)
-        if text is not None:
-            parts.append(text)
+    at, size = 0, len(page)
+    while at < size:  # every sign is passed once, however badly elements are closed
+        begin = page.find("<", at)
+        if begin != at:
+            parts.append(page[at:begin] if begin >= 0 else page[at:])
+            if begin < 0:
+                break
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        if name is None:
+        found, end = _TAG.match(page, begin), page.find(">", begin)
+        if end < 0:
+            break
+        at = end + 1
+        if not found:
             continue
+        name, closes, whole = found.group(2), found.group(1), page[begin:at]
+        if name.lower() in _CLOSING and not closes:
+            rest = _CLOSING[name.lower()].search(page, at)
+            if rest or name.lower() != "head":
+                at = rest.end() if rest else size
+                continue
         name = name.lower()
         if name in _INLINE:
             continue
         flush()
         if name in ("br", "hr", "meta", "link", "input"):
             continue
-        if m.group(2):
+        if closes:
             while len(stack) > 1:
                 top, held = stack.pop()
                 link -= top in _LINKS
@@ -116,9 +133,9 @@ def strip_markup(page: str) -> list[tuple[str, bool, str, str]]:
                     break
             tag = stack[-1][0]
             continue
-        hold = name in _HOLDERS or (name == "div" and "class" in m.group())
+        hold = name in _HOLDERS or (name == "div" and "class" in whole)
         if hold:
-            kind = _CLASS.search(m.group())
+            kind = _CLASS.search(whole)
             holders.append(f"{name} {kind.group(1) or kind.group(2)}" if kind else name if name in _SECTIONS else f"{name}#{containers}")
             containers += 1
         stack.append((name, int(hold)))
@@ -162,13 +179,13 @@ def headline_of(title: str | None) -> str:
     """The title without the site's name after its last dash or bar."""
     if not title:
         return ""
-    parts = re.split(r"\s[–|-]\s(?!.*\s[–|-]\s)", title, maxsplit=1)
-    return " ".join(parts[0].split()) if len(parts) > 1 else ""
+    last = max(title.rfind(f" {mark} ") for mark in "–|-")
+    return " ".join(title[:last].split()) if last > 0 else ""
 
 
 def _alien(line: str) -> bool:
     """Whether a line is one of a cookie notice, a footer, a menu or the head of teasers."""
-    low = _DOTS.sub("", line.lower())
+    low = line.lower().rstrip(_DOTS)
     return bool(low in _BUTTONS or low in TEASER or _COOKIE.search(line) or _FOOTER.search(line))
 
 
@@ -208,7 +225,7 @@ def main_lines(text: str, page: str | None, title: str | None) -> tuple[list[int
     for i, (line, m) in enumerate(zip(lines, marks, strict=True)):
         if i == start:
             teaser = 0
-        low = _DOTS.sub("", line.lower())
+        low = line.lower().rstrip(_DOTS)
         plain = re.sub(r"\s*(?:\(her\)|[›*])$", "", low)
         w = len(line)
         if m and m[0] or plain in _BUTTONS or _COOKIE.search(line) and not contained or _FOOTER.search(line) and not (contained and m and m[1] in homes):

@@ -31,6 +31,18 @@ def test_markup_that_isnt_well_formed():
         assert isinstance(M.main_lines("x" * 100, page, None)[0], list)
 
 
+def test_long_pages_take_no_quadratic_time():
+    import time
+
+    start = time.time()
+    for piece in ("<script>", "<!-- ", "<a ", "<div class=x>", "<p>x", "</div>", "<head>", "x < y ", "«"):
+        M.strip_markup(piece * 60_000)
+    M.main_lines("ord " * 300_000, None, "ord – " * 100_000)
+    M.main_lines("x" + " " * 300_000 + "x" + "." * 300_000 + "x", None, None)
+    M.main_lines("en linje\n" * 30_000, "<p>en linje</p>" * 30_000, None)
+    assert time.time() - start < 60
+
+
 def test_footer_text_that_a_host_repeats(spark):
     promo = "Vi leverer fisk til hele landet, hver dag, året rundt, uten stans."
     rows = []
