@@ -226,7 +226,7 @@ def main_lines(text: str, page: str | None, title: str | None) -> tuple[list[int
         if i == start:
             teaser = 0
         low = line.lower().rstrip(_DOTS)
-        plain = re.sub(r"\s*(?:\(her\)|[›*])$", "", low)
+        plain = next((low.removesuffix(mark).rstrip() for mark in ("(her)", "›", "*") if low.endswith(mark)), low)
         w = len(line)
         if m and m[0] or plain in _BUTTONS or _COOKIE.search(line) and not contained or _FOOTER.search(line) and not (contained and m and m[1] in homes):
             w, teaser = 0, 0
