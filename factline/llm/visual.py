@@ -90,7 +90,7 @@ class Transducer:
         for top in (0xFFFF, sys.maxunicode):
             shown = "".join(re.escape(c) for c in sorted(single) if ord(c) <= top)
             every = "".join(re.escape(c) for c in marks if ord(c) <= top)
-            self._tables.append((re.compile(f"[{every}]"), re.compile(f"[{shown}]"), re.compile(f"[^{every}](?:[{hidden}]*[{every}])+|[{shown}]")))
+            self._tables.append((re.compile(f"[{every}]"), re.compile(f"[{shown}]"), re.compile(f"[^{every}{hidden}](?:[{hidden}]*[{every}])+|[{shown}]")))
         self._cluster = lru_cache(200_000)(self._map)
 
     def _map(self, cluster: str) -> str:

@@ -50,3 +50,4 @@ def test_pairs_against_brute_force(spark):
 
 def test_long_text():
     assert len(T.apply("а̊ " * 200_000)) == 400_000
+    assert T.apply("a" + "\u200b" * 300_000 + "b a\u0301") == "ab á" and T.apply("\u200b\u0301" + "e" + "\u00ad" * 9 + "\u0301").endswith("é")
