@@ -209,8 +209,12 @@ def social_links(page: str | None) -> list[tuple[str, str]]:
 
 def mails(page: str | None, domain: str | None = None) -> list[str]:
     """Mail addresses, those of the domain first; placeholders left out."""
-    text = html.unescape(page or "")
-    found = dict.fromkeys(m.lower().strip(".") for m in re.findall(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", text))
+    text, found = html.unescape(page or ""), {}
+    for at in re.finditer("@", text):  # from each sign to both sides, in the lengths that addresses may have
+        left = re.search(r"[\w.+-]{1,64}$", text[max(0, at.start() - 64) : at.start()])
+        right = re.match(r"[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}", text[at.end() : at.end() + 255])
+        if left and right:
+            found[f"{left.group()}@{right.group()}".lower().strip(".")] = None
     good = [m for m in found if not re.search(r"(?:^(?:example|test|your|navn|name)@|@(?:domain|sentry|email)\.|\.(?:png|jpg|gif|webp)$)", m)]
     return sorted(good, key=lambda m: (not (domain and m.endswith("@" + domain)), good.index(m)))
 

@@ -95,12 +95,12 @@ def core_name(name: Column) -> Column:
 
 def strip_legal_tail(name: Column) -> Column:
     """Without the legal forms at the end, unless nothing is left."""
-    bare = F.regexp_replace(F.trim(name), rf"(?i)((^|\s+)({'|'.join(LEGAL_TAIL)})[.,]*)+$", "")
+    bare = F.regexp_replace(squeeze(name), rf"(?i)((^|\s+)({'|'.join(LEGAL_TAIL)})[.,]*)+$", "")
     return F.when(F.trim(bare) == "", F.trim(name)).otherwise(F.trim(bare))
 
 
 def without_branch_words(name: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(name, BRANCH_WORDS, " "), r"\s+", " ")), r"^[ \-,]+|[ \-,]+$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(name, BRANCH_WORDS, " "), r"\s+", " "), F.lit(" -,"))
 
 
 def subunit_alias(name: Column, parent: Column) -> Column:

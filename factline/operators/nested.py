@@ -74,6 +74,15 @@ def parse(text: str) -> Any:
         return text
 
 
+def walk_text(text: str, objects: dict[str, tuple[str, str, list[tuple[str, int, str | None]]]]) -> str:
+    """The identity of a JSON text; one that is too deep for the interpreter is a scalar of its text."""
+    try:
+        return walk(parse(text), objects)
+    except RecursionError:
+        objects.clear()
+        return walk(text, objects)
+
+
 def rebuild(root: str, objects: dict[str, tuple[str, str]], bridge: dict[str, list[tuple[str, int, str | None]]]) -> Any:
     """The value of an identity, from rows of objects (hash to kind and content) and bridge (parent to its children)."""
     kind, content = objects[root]
@@ -104,7 +113,7 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             objects: dict[str, tuple[str, str, list]] = {}
-            out.append(("root", key, None, None, None, None, walk(parse(text), objects)))
+            out.append(("root", key, None, None, None, None, walk_text(text, objects)))
             for h, (kind, content, children) in objects.items():
                 if h not in given:
                     given.add(h)

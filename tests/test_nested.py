@@ -53,6 +53,8 @@ def test_latest_body_and_struct_bodies(spark):
     assert empty.roots.count() == empty.objects.count() == empty.bridge.count() == 0
 
 
-@pytest.mark.parametrize("depth", [50, 5000])
+@pytest.mark.parametrize("depth", [50, 900, 2_000, 20_000, 100_000])
 def test_deep_records_dont_crash(depth):
-    assert nested.walk(nested.parse("[" * depth + "]" * depth), {}) if depth < 900 else nested.parse("[" * 100_000) == "[" * 100_000
+    objects = {}
+    assert nested.walk_text("[" * depth + "]" * depth, objects) in objects
+    assert nested.walk_text('{"a":' * depth + "1" + "}" * depth, {})
