@@ -9,6 +9,8 @@ Repeats: one row for each identity is expected (see operators.choosing). Skew: t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,11 @@ def current(claims: DataFrame) -> DataFrame:
     return claims.where("status = 'current'").withColumn("value_key", F.coalesce("value_key", F.lit("")))
 
 
-def meet(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Both runs' current claims side by side, as prev_ and curr_ columns."""
-    p = current(before).select(*ID, F.lit(True).alias("prev"), *[F.col(c).alias(f"prev_{c}") for c in REST])
-    c = current(after).select(*ID, F.lit(True).alias("curr"), *[F.col(x).alias(f"curr_{x}") for x in REST])
-    return p.join(c, ID, "full_outer").withColumns({k: F.coalesce(k, F.lit(False)) for k in ("prev", "curr")})
+def meet(before: DataFrame, after: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Both runs' current claims side by side, as prev_ and curr_ columns; by: columns that tell several comparisons apart."""
+    p = current(before).select(*by, *ID, F.lit(True).alias("prev"), *[F.col(c).alias(f"prev_{c}") for c in REST])
+    c = current(after).select(*by, *ID, F.lit(True).alias("curr"), *[F.col(x).alias(f"curr_{x}") for x in REST])
+    return p.join(c, [*by, *ID], "full_outer").withColumns({k: F.coalesce(k, F.lit(False)) for k in ("prev", "curr")})
 
 
 def checked(availability: Column, reason: Column) -> Column:
@@ -63,8 +65,8 @@ def _equal() -> Column:
     return F.when(F.col("field") == "official_website", site).otherwise(same | words)
 
 
-def changes(before: DataFrame, after: DataFrame, states: DataFrame) -> DataFrame:
-    """org, family, field, value_key, change_type, prev_value, curr_value, change_id of each change.
+def changes(before: DataFrame, after: DataFrame, states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, org, family, field, value_key, change_type, prev_value, curr_value, change_id of each change.
 
     states: org, family, checked. What a source that wasn't read leaves out hasn't changed.
     """
@@ -78,20 +80,20 @@ def changes(before: DataFrame, after: DataFrame, states: DataFrame) -> DataFrame
         .when((F.col("family") == "activity") | ~F.col("checked"), F.lit(None).cast("string"))
         .otherwise(F.when(item, _of(F.col("family"), ENDED_ITEM)).otherwise(mapped))
     )
-    both = meet(before, after).join(states.select("org", "family", "checked"), ["org", "family"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
+    both = meet(before, after, by).join(states.select(*by, "org", "family", "checked"), [*by, "org", "family"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
     out = both.withColumn("change_type", kind).where("change_type is not null")
     claim = keys.claim_id(*[F.col(c) for c in ID])
-    return out.select(*ID, "change_type", "prev_value", "curr_value", keys.change_id(claim, F.col("change_type"), F.col("prev_value"), F.col("curr_value")).alias("change_id"))
+    return out.select(*by, *ID, "change_type", "prev_value", "curr_value", keys.change_id(claim, F.col("change_type"), F.col("prev_value"), F.col("curr_value")).alias("change_id"))
 
 
-def merged(before: DataFrame, after: DataFrame, states: DataFrame) -> DataFrame:
-    """The state after a run: identity, value, origin and note.
+def merged(before: DataFrame, after: DataFrame, states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The state after a run: by, identity, value, origin and note.
 
     origin is new, kept, superseded (a new value; the old one goes to history), carried (not seen, source not read),
     withdrawn (activity not seen) or ended (not seen, source read).
     """
-    both = meet(before, after).join(states.select("org", "family", "checked"), ["org", "family"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
+    both = meet(before, after, by).join(states.select(*by, "org", "family", "checked"), [*by, "org", "family"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
     gone = F.when(~F.col("checked"), "carried").when(F.col("family") == "activity", "withdrawn").otherwise("ended")
     origin = F.when(F.col("prev") & F.col("curr"), F.when(_equal(), "kept").otherwise("superseded")).when(F.col("curr"), "new").otherwise(gone)
     out = both.withColumn("origin", origin)
-    return out.select(*ID, F.when(F.col("curr"), F.col("curr_value")).otherwise(F.col("prev_value")).alias("value"), "origin", F.when(F.col("origin") == "carried", CARRIED).alias("note"))
+    return out.select(*by, *ID, F.when(F.col("curr"), F.col("curr_value")).otherwise(F.col("prev_value")).alias("value"), "origin", F.when(F.col("origin") == "carried", CARRIED).alias("note"))

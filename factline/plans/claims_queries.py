@@ -58,6 +58,35 @@ def states(t, snapshot: int) -> DataFrame:
     return rows.select(F.col("organisation_number").alias("org"), "family").distinct().withColumn("checked", F.lit(True))
 
 
+#: The same for every pair of consecutive snapshots; s is the later one.
+SQL_RUNS = f"""
+n AS (SELECT s, lag(s) OVER (ORDER BY s) AS before FROM (SELECT DISTINCT snapshot_no AS s FROM claims WHERE snapshot_no IS NOT NULL)),
+k AS (
+  SELECT snapshot_no AS s, organisation_number AS org, family, field, coalesce(value_key, '') AS value_key,
+    arg_max({{'v': {SQL_CANON.format("value")}, 'a': reporting_period.start, 'b': reporting_period.end, 't': status}}, (last_observed_at, value)) AS r
+  FROM claims WHERE status IS NOT NULL AND value IS NOT NULL GROUP BY ALL
+), st AS (SELECT DISTINCT snapshot_no AS s, organisation_number AS org, family, TRUE AS checked FROM claims WHERE availability IN ('available', 'not_available', 'not_applicable')),
+p AS (SELECT n.s, org, family, field, value_key, r FROM k JOIN n ON k.s = n.before WHERE r.t = 'current'), c AS (SELECT n.s, org, family, field, value_key, r FROM k JOIN n USING (s) WHERE n.before IS NOT NULL AND r.t = 'current'),
+{SQL_RUN[SQL_RUN.index("m AS ("):].replace("SELECT org, family", "SELECT s, org, family", 1).replace("USING (org", "USING (s, org")}
+"""
+
+
+def runs(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims before and after and the families checked of every pair of consecutive snapshots, by the later snapshot_no."""
+    rows = t("claims").where("snapshot_no is not null")
+    pairs = rows.select("snapshot_no").distinct().withColumn("before", F.lag("snapshot_no").over(W.orderBy("snapshot_no"))).where("before is not null")
+    pairs = F.broadcast(pairs)  # as many rows as there are snapshots
+    claims = rows.where("status is not null and value is not null").select(
+        "snapshot_no", F.col("organisation_number").alias("org"), "family", "field", F.coalesce("value_key", F.lit("")).alias("value_key"), canonical_json(F.col("value"), VOLATILE).alias("canon"),
+        F.col("reporting_period.start").alias("period_start"), F.col("reporting_period.end").alias("period_end"), "status", "last_observed_at", F.col("value").alias("raw"),
+    )
+    best = choosing.last_wins(claims, ["snapshot_no", "org", "family", "field", "value_key"], F.col("last_observed_at"), F.col("raw")).withColumnRenamed("canon", "value")
+    before = best.withColumnRenamed("snapshot_no", "before").join(pairs, "before").drop("before")
+    after = best.join(pairs.select("snapshot_no"), "snapshot_no")
+    seen = rows.where(refresh.checked(F.col("availability"), F.lit(None).cast("string")))
+    return before, after, seen.select("snapshot_no", F.col("organisation_number").alias("org"), "family").distinct().withColumn("checked", F.lit(True))
+
+
 @query(f"""
 WITH {SQL_RUN}, x AS (
   SELECT org, family, field, value_key, pr.v AS prev_value, cr.v AS curr_value,
@@ -88,6 +117,36 @@ def refresh_carry_forward(t) -> DataFrame:
     return refresh.merged(run(t, 1), run(t, 2), states(t, 2)).groupBy("family", "origin").agg(F.count("*").alias("claims"))
 
 
+@query(f"""
+WITH {SQL_RUNS}, x AS (
+  SELECT s, org, family, field, value_key, pr.v AS prev_value, cr.v AS curr_value,
+    CASE WHEN pr IS NOT NULL AND cr IS NOT NULL THEN CASE WHEN same THEN NULL WHEN family IN ('financials', 'financial_history') AND NOT coalesce(cr.b > coalesce(pr.b, ''), FALSE) THEN 'changed_value'
+        WHEN family = 'website' THEN 'changed_website' WHEN family = 'description' THEN 'changed_description' WHEN family = 'identity' THEN 'identity_changed' WHEN family IN ('financials', 'financial_history') THEN 'new_filing' ELSE 'changed_value' END
+      WHEN cr IS NOT NULL THEN CASE WHEN value_key <> '' THEN CASE family WHEN 'leadership' THEN 'new_role' WHEN 'jobs' THEN 'new_job' WHEN 'locations' THEN 'new_location' WHEN 'profiles' THEN 'new_profile' WHEN 'activity' THEN 'new_activity' END
+        WHEN family = 'website' THEN 'changed_website' WHEN family = 'description' THEN 'changed_description' WHEN family = 'identity' THEN 'identity_changed' WHEN family IN ('financials', 'financial_history') THEN 'new_filing' ELSE 'changed_value' END
+      WHEN family = 'activity' OR NOT checked THEN NULL
+      WHEN value_key <> '' THEN CASE family WHEN 'leadership' THEN 'ended_role' WHEN 'jobs' THEN 'closed_job' WHEN 'locations' THEN 'closed_location' WHEN 'profiles' THEN 'removed_profile' END
+      WHEN family = 'website' THEN 'changed_website' WHEN family = 'description' THEN 'changed_description' WHEN family = 'identity' THEN 'identity_changed' WHEN family IN ('financials', 'financial_history') THEN 'new_filing' ELSE 'changed_value' END AS change_type
+  FROM m
+)
+SELECT s AS snapshot_no, org, family, field, value_key, change_type FROM x WHERE change_type IS NOT NULL
+""")
+def refresh_diff_all(t) -> DataFrame:
+    """Typed changes between every two consecutive runs."""
+    return refresh.changes(*runs(t), by=["snapshot_no"]).select("snapshot_no", "org", "family", "field", "value_key", "change_type")
+
+
+@query(f"""
+WITH {SQL_RUNS}
+SELECT s AS snapshot_no, family, CASE WHEN pr IS NOT NULL AND cr IS NOT NULL THEN CASE WHEN same THEN 'kept' ELSE 'superseded' END WHEN cr IS NOT NULL THEN 'new'
+  WHEN NOT checked THEN 'carried' WHEN family = 'activity' THEN 'withdrawn' ELSE 'ended' END AS origin, count(*) AS claims
+FROM m GROUP BY 1, 2, 3
+""")
+def refresh_carry_forward_all(t) -> DataFrame:
+    """Where the claims of the state after each run come from, by family."""
+    return refresh.merged(*runs(t), by=["snapshot_no"]).groupBy("snapshot_no", "family", "origin").agg(F.count("*").alias("claims"))
+
+
 @query("""
 WITH k AS (SELECT organisation_number AS org, family, field, coalesce(value_key, '') AS value_key, min(snapshot_no) AS first_seen, max(snapshot_no) AS last_seen, count(DISTINCT snapshot_no) AS seen, count(DISTINCT status) AS statuses FROM claims GROUP BY ALL)
 SELECT family, first_seen, last_seen, count(*) AS claims, CAST(sum(CASE WHEN seen < last_seen - first_seen + 1 THEN 1 ELSE 0 END) AS BIGINT) AS interrupted, max(statuses) AS most_statuses FROM k GROUP BY 1, 2, 3
@@ -103,9 +162,9 @@ def refresh_history(t) -> DataFrame:
 
 @query()
 def change_summary(t) -> DataFrame:
-    """Changes by type with the organisations concerned, most frequent first."""
-    found = refresh.changes(run(t, 1), run(t, 2), states(t, 2))
-    return found.groupBy("change_type").agg(F.count("*").alias("changes"), F.countDistinct("org").alias("organisations"), F.countDistinct("change_id").alias("ids")).orderBy(F.desc("changes"), "change_type")
+    """Changes of every run by type with the organisations concerned, most frequent first."""
+    found = refresh.changes(*runs(t), by=["snapshot_no"])
+    return found.groupBy("snapshot_no", "change_type").agg(F.count("*").alias("changes"), F.countDistinct("org").alias("organisations"), F.countDistinct("change_id").alias("ids")).orderBy("snapshot_no", F.desc("changes"), "change_type")
 
 
 @query("""

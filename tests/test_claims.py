@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factline.functions import keys
 from factline.operators import directory, quality, refresh
+from factline.plans import claims_queries
 from factline.sources import sinks
 
 SCHEMA = "org string, family string, field string, value_key string, value string, period_start string, period_end string, status string"
@@ -92,3 +93,13 @@ def test_snapshots_are_added_once(spark):
     store = spark.createDataFrame([("a",)], "sha256 string")
     new = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), (None, 3)], "sha256 string, n int")
     assert [r.sha256 for r in sinks.add_snapshots(store, new).collect()] == ["b"]
+
+
+def test_every_run_is_compared_with_the_one_before(spark):
+    schema = "snapshot_no int, organisation_number string, family string, field string, value_key string, value string, reporting_period struct<start: string, end: string>, status string, last_observed_at string, availability string"
+    row = lambda no, v: (no, "o", "website", "official_website", None, json.dumps(v), None, "current", "2026-01-01", "available")
+    claims = spark.createDataFrame([row(1, "a.no"), row(2, "a.no"), row(4, "b.no"), row(5, "a.no")], schema)
+    t = lambda name: claims
+    assert [r.snapshot_no for r in claims_queries.refresh_diff_all(t).orderBy("snapshot_no").collect()] == [4, 5]
+    assert {(r.snapshot_no, r.origin) for r in claims_queries.refresh_carry_forward_all(t).collect()} == {(2, "kept"), (4, "superseded"), (5, "superseded")}
+    assert [tuple(r) for r in claims_queries.change_summary(t).collect()] == [(4, "changed_website", 1, 1, 1), (5, "changed_website", 1, 1, 1)]
