@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.instants import instant
 from ..operators import choosing, matching, stats
+from ..operators.skew import hot_join
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -82,6 +83,17 @@ def children_by_parent(t) -> DataFrame:
     return joined.groupBy(F.col("n_name").alias("parent")).agg(F.count("*").alias("children"), F.array_join(F.array_sort(F.collect_list("c_name")), ",").alias("names"))
 
 
+@query("""
+SELECT n_name AS parent, c_name AS child, c_custkey AS child_key, count(*) OVER (PARTITION BY n_name) AS children FROM nation JOIN customer ON n_nationkey = c_nationkey
+""")
+def children_of_parents(t) -> DataFrame:
+    """One row for each child, with its parent's number of children; no group is gathered in one task."""
+    nations = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("parent"))
+    children = hot_join(t("customer").select("c_nationkey", "c_custkey", "c_name"), nations, "c_nationkey")
+    counts = children.groupBy("parent").agg(F.count("*").alias("children"))
+    return hot_join(children, counts, "parent").select("parent", F.col("c_name").alias("child"), F.col("c_custkey").alias("child_key"), "children")
+
+
 @query("""
 SELECT core, min(id) AS first_id, arg_min(name, (id, coalesce(name, ''))) AS first_name, string_agg(DISTINCT postcode, ',' ORDER BY postcode) AS postcodes,
   max(postcode) FILTER (WHERE postcode IS NOT NULL) AS last_postcode

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from factline.operators import choosing, matching, skew, stats
+from factline.plans import matching_queries
 
 
 def test_hot_join_is_an_inner_join(spark):
@@ -97,3 +98,10 @@ def test_nearest_rank_rounds_half_to_even(spark):
 def test_counts_merge_both_columns(spark):
     df = spark.createDataFrame([("x", "x"), ("y", None), ("x", "z")], "a string, b string")
     assert {(r.value, r.n, r.m) for r in stats.counts_of(df, {"n": "a", "m": "b"}).collect()} == {("x", 2, 1), ("y", 1, 0), ("z", 0, 1)}
+
+
+def test_no_child_is_left_out(spark):
+    tables = {"nation": spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "n_nationkey int, n_name string")}
+    tables["customer"] = spark.createDataFrame([(1, "x", 1, 9500.0), (2, "y", 1, -3.0), (3, "z", 2, 0.0), (4, "x", 1, None)], "c_custkey int, c_name string, c_nationkey int, c_acctbal double")
+    got = {tuple(r) for r in matching_queries.children_of_parents(tables.get).collect()}
+    assert got == {("A", "x", 1, 3), ("A", "y", 2, 3), ("A", "x", 4, 3), ("B", "z", 3, 1)}
