@@ -492,8 +492,20 @@ def compare_pivot(t) -> DataFrame:
 @query(DIRECTORY_SQL + """SELECT org, name || ' is a ' || coalesce(CASE WHEN employees >= 250 THEN 'large' WHEN employees >= 50 THEN 'medium-sized' WHEN employees >= 10 THEN 'small' WHEN employees >= 1 THEN 'micro' END || ' ', '') || 'company'
   || coalesce(' based in ' || municipality, '') || CASE WHEN jobs > 0 THEN ', hiring (' || jobs || CASE WHEN jobs = 1 THEN ' open ad)' ELSE ' open ads)' END ELSE '' END || '.' AS sentence FROM dir WHERE name IS NOT NULL AND (employees IS NOT NULL OR revenue IS NULL)""")
 def summary_sentences(t) -> DataFrame:
-    """One sentence for each organisation from its facts."""
-    rows = directory_table(t).where("name is not null and (employees is not null or revenue is null)")
+    """One sentence for each organisation from its facts, but for those with revenue and no staff number."""
+    return sentences(directory_table(t).where("name is not null and (employees is not null or revenue is null)"))
+
+
+@query(DIRECTORY_SQL + """SELECT org, name || ' is a ' || coalesce(CASE WHEN employees IS NULL THEN CASE WHEN revenue >= 500000000 THEN 'large' WHEN revenue >= 100000000 THEN 'medium-sized' WHEN revenue >= 20000000 THEN 'small' END
+    WHEN employees >= 250 THEN 'large' WHEN employees >= 50 THEN 'medium-sized' WHEN employees >= 10 THEN 'small' WHEN employees >= 1 THEN 'micro' END || ' ', '') || 'company'
+  || coalesce(' based in ' || municipality, '') || CASE WHEN jobs > 0 THEN ', hiring (' || jobs || CASE WHEN jobs = 1 THEN ' open ad)' ELSE ' open ads)' END ELSE '' END || '.' AS sentence FROM dir WHERE name IS NOT NULL""")
+def summary_sentences_all(t) -> DataFrame:
+    """One sentence for each organisation that has a name, sized by revenue where staff is unknown."""
+    return sentences(directory_table(t).where("name is not null"))
+
+
+def sentences(rows: DataFrame) -> DataFrame:
+    """org and sentence of rows of the directory."""
     size = F.coalesce(F.concat(maths.size_word(F.col("employees"), F.col("revenue")), F.lit(" ")), F.lit(""))
     where = F.coalesce(F.concat(F.lit(" based in "), F.col("municipality")), F.lit(""))
     jobs = F.when(F.col("jobs") > 0, F.concat(F.lit(", hiring ("), X.count_of(F.col("jobs"), "open ad"), F.lit(")"))).otherwise("")

@@ -103,3 +103,10 @@ def test_every_run_is_compared_with_the_one_before(spark):
     assert [r.snapshot_no for r in claims_queries.refresh_diff_all(t).orderBy("snapshot_no").collect()] == [4, 5]
     assert {(r.snapshot_no, r.origin) for r in claims_queries.refresh_carry_forward_all(t).collect()} == {(2, "kept"), (4, "superseded"), (5, "superseded")}
     assert [tuple(r) for r in claims_queries.change_summary(t).collect()] == [(4, "changed_website", 1, 1, 1), (5, "changed_website", 1, 1, 1)]
+
+
+def test_sentences_size_by_revenue_where_staff_is_unknown(spark):
+    facts = [("a", "A", None, 6e8, None, 0), ("b", "B", None, 3e7, "Bø", 1), ("c", "C", None, 5.0, None, 0), ("d", "D", 12, 6e8, None, 0)]
+    rows = spark.createDataFrame(facts, "org string, name string, employees int, revenue double, municipality string, jobs long")
+    got = dict(tuple(r) for r in claims_queries.sentences(rows).collect())
+    assert got == {"a": "A is a large company.", "b": "B is a small company based in Bø, hiring (1 open ad).", "c": "C is a company.", "d": "D is a small company."}
