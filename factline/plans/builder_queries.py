@@ -147,7 +147,7 @@ def feed_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = files_stream(spark, d, "feed_entry")
     state = feed.target(spark, work_path(spark, "feed-state"))
     feed.keep_up(_feed_events(stream), state, work_path(spark, "feed-offsets")).awaitTermination()
-    return state.read()
+    return state.latest()
 
 
 catalog.queries["feed_stream"], catalog.sql["feed_stream"] = feed_stream, STREAM_SQL

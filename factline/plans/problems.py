@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import history, incremental, nested, snapshot_diff
-from ..runtime import materialize, work_path
+from ..runtime import work_path
 from ..sources.tables import table
 
 
@@ -31,28 +31,32 @@ def p1_attribute_versions(spark: SparkSession, d: str) -> DataFrame:
 AD_STATE = T.StructType([T.StructField("uuid", T.StringType()), T.StructField("sist_endret_ms", T.LongType())])
 
 
-def _ad_target(spark: SparkSession, seen: DataFrame) -> incremental.Target:
-    """A target that holds the versions which the successful runs have processed."""
-    target = incremental.Target(spark, work_path(spark, "ads"), AD_STATE, ["uuid", "sist_endret_ms"])
-    target.publish(seen.where("held").select("uuid", "sist_endret_ms"), 0)
-    return target
+def ad_feed(spark: SparkSession, d: str, state: str | None = None) -> tuple[incremental.Target, DataFrame]:
+    """The target of the feed's runs, and the deliveries that the next run finds, as versions.
 
-
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The ad versions that the next feed run has to process."""
+    state is the target's folder, which outlives the session; where it has no version yet, its first one is what the
+    successful runs have processed: the versions delivered up to the cursors. Without a folder it is one of the session.
+    """
+    target = incremental.Target(spark, state or work_path(spark, "ads"), AD_STATE, ["uuid", "sist_endret_ms"])
     versions = incremental.ad_versions(table(spark, d, "active_ads"))
-    seen = materialize(incremental.split_by_cursor(versions, incremental.slice_cursors(table(spark, d, "nav_feed_cursor"))), "ad-versions")
-    return incremental.pending(seen.where("late").select("uuid", "sist_endret_ms"), _ad_target(spark, seen).read(), ["uuid", "sist_endret_ms"])
+    done, found = incremental.split_by_cursor(versions, incremental.slice_cursors(table(spark, d, "nav_feed_cursor")))
+    if not target.version():
+        target.publish(done, 0)
+    return target, found
+
 
+def p2_found(spark: SparkSession, d: str, state: str | None = None) -> DataFrame:
+    """The ad versions that the next feed run has to process: those found after the cursors that the target lacks."""
+    target, found = ad_feed(spark, d, state)
+    return incremental.pending(found, target.read(), target.keys)
 
-def p2_after_run(spark: SparkSession, d: str) -> DataFrame:
+
+def p2_after_run(spark: SparkSession, d: str, state: str | None = None) -> DataFrame:
     """Versions in the target after the next run, and what a further run would still find: nothing."""
-    versions = incremental.ad_versions(table(spark, d, "active_ads"))
-    seen = materialize(incremental.split_by_cursor(versions, incremental.slice_cursors(table(spark, d, "nav_feed_cursor"))), "ad-versions")
-    target, source = _ad_target(spark, seen), seen.select("uuid", "sist_endret_ms")
-    target.run(source, lambda new: new)
+    target, found = ad_feed(spark, d, state)
+    target.run(found, lambda new: new)
     held = target.read()
-    left = incremental.pending(source, held, ["uuid", "sist_endret_ms"])
+    left = incremental.pending(found, held, target.keys)
     count = [F.count("*").alias("versions"), F.countDistinct("uuid").alias("ads")]
     return held.agg(*count).withColumn("part", F.lit("held")).unionByName(left.agg(*count).withColumn("part", F.lit("left over")))
 

@@ -12,14 +12,17 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when a count proves that it has at most so many rows.
+#: A side of a join is broadcast only when it has been written and has at most so many rows and characters.
 BROADCAST_ROWS = 20_000
+BROADCAST_CHARS = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests), a folder of this machine, kept in the session."""
+    """The folder of spark.checkpoint.dir; where none is set, RuntimeError on a cluster, else a folder of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("factline.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="factline-")
         spark.conf.set("factline.shared.dir", folder)
     return folder.rstrip("/")
@@ -80,10 +83,14 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else df as it is (Spark then picks a shuffled join)."""
-    few = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """df, written and with a broadcast hint, if it is that small; else df as it is (Spark then picks a shuffled join).
+
+    Only max_rows + 1 rows are ever written here, and what is broadcast is read from them: df runs once.
+    """
+    side = materialize(df.limit(max_rows + 1), "side")
+    rows, chars = side.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(side) if rows <= max_rows and (chars or 0) <= max_chars else df
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -1,9 +1,9 @@
 """The event feed as a stream: the same compaction as in batch, kept up by Structured Streaming.
 
 State is a table in published versions (operators.incremental.Target). Each micro-batch is reduced to the last event of
-each key and merged; an event older than what the state holds changes nothing, so replays and late slices are harmless.
-Offsets live in the checkpoint, versions in the target: a batch that is run again after a failure finds its events in
-the state already.
+each key and folded into the rows of its own keys, which alone are read and written again; an event older than what the
+state holds changes nothing, so replays and late slices are harmless. Offsets live in the checkpoint, versions in the
+target: a batch that is run again after a failure finds its events in the state already.
 """
 
 from __future__ import annotations
@@ -45,11 +45,10 @@ def target(spark: SparkSession, path: str) -> Target:
 
 
 def keep_up(events: DataFrame, state: Target, checkpoint: str, available_now: bool = True):
-    """A streaming query that folds a stream of events into the state."""
+    """A streaming query that folds a stream of events into the state, which latest() reads."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        base = state.version()
-        state.publish(fold_events(state.read(), batch), base)
+        state.upsert(lambda rows: fold_events(rows, batch), batch.where("key is not null"))
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
