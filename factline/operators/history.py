@@ -31,6 +31,26 @@ def latest_per_snapshot(rows: DataFrame, keys: Sequence[str], snapshot: str, ver
     return best.select(*keys, snapshot, *[F.col(f"_best.{a}").alias(a) for a in attrs])
 
 
+def differences(now: DataFrame, keys: Sequence[str], attrs: Sequence[str], compared: Sequence[str]) -> DataFrame:
+    """keys, _i (the later snapshot's number), change, attrs and before_<attribute> by one null-safe full outer join.
+
+    now: keys, _i (the number of a row's snapshot; those that follow each other are compared), attrs, and others that are
+    kept. change is inserted, changed, deleted or unchanged, by the attributes compared.
+    """
+    then = now.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_i") + 1).alias("_j"), *[F.col(a).alias(f"before_{a}") for a in attrs])
+    same_key = F.col("_i") == F.col("_j")
+    for k in keys:
+        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    differs = F.lit(False)
+    for a in compared:
+        differs = differs | ~F.col(a).eqNullSafe(F.col(f"before_{a}"))
+    kind = F.when(F.col("_j").isNull(), "inserted").when(F.col("_i").isNull(), "deleted").when(differs, "changed").otherwise("unchanged")
+    both = now.join(then, same_key, "full_outer").withColumn("change", kind)
+    here = F.col("_i").isNotNull()
+    others = [c for c in now.columns if c not in (*keys, *attrs, "_i")]
+    return both.select(*[F.when(here, F.col(k)).otherwise(F.col(f"_k_{k}")).alias(k) for k in keys], *others, F.coalesce("_i", "_j").alias("_i"), "change", *attrs, *[f"before_{a}" for a in attrs])
+
+
 def snapshot_changes(state: DataFrame, keys: Sequence[str], snapshot: str, attrs: Sequence[str], absent: str = "carry") -> DataFrame:
     """Changes between consecutive snapshots: keys, snapshot, change, the attributes and before_<attribute>.
 
@@ -46,16 +66,7 @@ def snapshot_changes(state: DataFrame, keys: Sequence[str], snapshot: str, attrs
         order = state.select(snapshot).distinct().withColumn("_i", F.row_number().over(W.orderBy(snapshot)))
         now = state.select(*cols).join(bounded_broadcast(order), snapshot)
         after = order.select(F.col(snapshot).alias("_after"), (F.col("_i")).alias("_i"))
-    then = now.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_i") + 1).alias("_j"), *[F.col(a).alias(f"before_{a}") for a in attrs])
-    same_key = F.col("_i").eqNullSafe(F.col("_j"))
-    for k in keys:
-        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    differs = F.lit(False)
-    for a in attrs:
-        differs = differs | ~F.col(a).eqNullSafe(F.col(f"before_{a}"))
-    kind = F.when(F.col("_j").isNull(), "inserted").when(F.col("_i").isNull(), "deleted").when(differs, "changed").otherwise("unchanged")
-    both = now.join(then, same_key, "full_outer").withColumn("change", kind)
-    out = both.select(*[F.coalesce(F.col(k), F.col(f"_k_{k}")).alias(k) for k in keys], snapshot, F.coalesce("_i", "_j").alias("_i"), "change", *attrs, *[f"before_{a}" for a in attrs])
+    out = differences(now, keys, attrs, attrs)
     if after is None:
         return out.where("change <> 'deleted'").drop("_i")
     out = out.join(bounded_broadcast(after), "_i")  # what ends after the last snapshot has no row there: it isn't deleted
@@ -81,46 +92,99 @@ def clean_name(name: Column) -> Column:
     return F.when(text != "", text)
 
 
-def name_history(register: DataFrame) -> DataFrame:
-    """Each organisation's names with their periods, from the present name and the former names of all snapshots.
+#: The things of a snapshot that name_events compares.
+THINGS = "array<struct<kind:int,item:string,day:string,name:string,shows:array<string>,reg:string>>"
+
+
+def _at(day: Column, kind: Column | int) -> Column:
+    """A place on the time line; on one day an end (0) precedes a snapshot (1) and a snapshot a start (2)."""
+    return F.struct(day.alias("day"), (F.lit(kind) if isinstance(kind, int) else kind).cast("int").alias("kind"))
 
-    Evidence of three kinds is put on one time line for each organisation: the present name at a snapshot, the start
-    (fraDato) and the end (tilDato) of a former name. Former names are keys of their own in the comparison of
-    snapshots, inserted by the first snapshot that lists them, so lists that lack them later delete nothing.
-    Neighbours on the line with one name are one period. On one day an end precedes a snapshot and a snapshot a start.
-    A former name with neither date stands just before the first snapshot that lists it.
+
+def name_events(register: DataFrame) -> DataFrame:
+    """Change events of consecutive snapshots: org, change, kind, day, name, before_name, shown, before_shown, shows, reg.
+
+    The things compared are an organisation's present name (kind 1) and each start (2), end (0) or mere mention (-1) of a
+    former name; all are rows of one state, so one full outer join classifies them. shown is the snapshot of the row,
+    before_shown that of the row before; shows are the organisation's snapshots with a name and reg is its first day,
+    both on the first event of its present name.
     """
     rows = register.where("status = 200").select(
         F.col("body.organisasjonsnummer").alias("org"), "snapshot_date", "retrieved_at",
         F.col("body.navn").alias("navn"), F.col("body.registreringsdatoEnhetsregisteret").alias("reg"), F.col("body.historiskeNavn").alias("former"),
     )
     state = latest_per_snapshot(rows, ["org"], "snapshot_date", "retrieved_at", ["navn", "reg", "former"])
-    now = state.select("org", "snapshot_date", clean_name(F.col("navn")).alias("name"), written_date(F.col("reg")).alias("reg")).where("name is not null")
-    seen = snapshot_changes(now, ["org"], "snapshot_date", ["name"]).select("org", F.col("snapshot_date").cast("string").alias("day"), F.lit(1).alias("kind"), "name", F.col("snapshot_date").alias("shown"))
-    entry = state.select("org", "snapshot_date", F.explode("former").alias("e")).select(
-        "org", "snapshot_date", clean_name(F.col("e.navn")).alias("name"), written_date(F.col("e.fraDato")).alias("fra"), written_date(F.col("e.tilDato")).alias("til")
-    )
-    marks = F.array(
-        F.struct(F.col("til").alias("day"), F.lit(0).alias("kind"), F.col("fra").alias("fra")),
-        F.struct(F.col("fra").alias("day"), F.lit(2).alias("kind"), F.col("fra").alias("fra")),
-        F.struct(F.when(F.col("fra").isNull() & F.col("til").isNull(), F.lit("")).alias("day"), F.lit(-1).alias("kind"), F.lit(None).cast("string").alias("fra")),
-    )
-    marked = entry.where("name is not null").select("org", "snapshot_date", "name", F.explode(marks).alias("m")).where("m.day is not null")
-    keyed = marked.groupBy("org", "name", F.col("m.day").alias("day"), F.col("m.kind").alias("kind"), "snapshot_date").agg(F.lit(1).alias("n"))
-    listed = snapshot_changes(keyed, ["org", "name", "day", "kind"], "snapshot_date", ["n"]).where("change = 'inserted'")
-    listed = listed.select("org", F.when(F.col("kind") == -1, F.col("snapshot_date").cast("string")).otherwise(F.col("day")).alias("day"), "kind", "name", F.col("snapshot_date").alias("shown"))
-    line = W.partitionBy("org").orderBy("day", "kind", "shown", "name")
-    events = seen.unionByName(listed).withColumn("_new", (~F.lag("name").over(line).eqNullSafe(F.col("name"))).cast("int"))
-    events = events.withColumn("_p", F.sum("_new").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    periods = events.groupBy("org", "_p").agg(
-        F.first("name").alias("navn"), F.min("day").alias("_first"), F.max("day").alias("_last"),
-        F.min(F.when(F.col("kind") == 2, F.col("day"))).alias("fra"), F.max(F.when(F.col("kind") == 0, F.col("day"))).alias("til"),
-        F.min("shown").cast("string").alias("shown"),
+    day = F.col("snapshot_date").cast("string")
+    state = state.select("org", "snapshot_date", day.alias("shown"), clean_name(F.col("navn")).alias("name"), written_date(F.col("reg")).alias("reg"), "former")
+    of = W.partitionBy("org")
+    named = F.col("name").isNotNull()
+    state = state.withColumn("shows", F.collect_list(F.when(named, F.col("shown"))).over(of)).withColumn("reg", F.min(F.when(named, F.col("reg"))).over(of))
+    state = state.withColumn("_i", F.row_number().over(of.orderBy("snapshot_date")))
+    none = F.lit(None)
+
+    def thing(kind: int, item: Column, at: Column, name: Column, own: bool = False) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), item.alias("item"), at.alias("day"), name.alias("name"),
+            (F.col("shows") if own else none.cast("array<string>")).alias("shows"), (F.col("reg") if own else none.cast("string")).alias("reg"),
+        )
+
+    def marks(e: Column) -> Column:
+        name, fra, til = clean_name(e["navn"]), written_date(e["fraDato"]), written_date(e["tilDato"])
+        text = F.lit(None).cast("string")
+        every = F.array(
+            F.when(til.isNotNull(), thing(0, name, til, name)), F.when(fra.isNotNull(), thing(2, name, fra, name)),
+            F.when(fra.isNull() & til.isNull(), thing(-1, name, text, name)),
+        )
+        return F.filter(every, lambda t: t.isNotNull() & name.isNotNull())
+
+    none_such = F.array().cast(THINGS)
+    present = F.when(named, F.array(thing(1, F.lit(""), F.lit(None).cast("string"), F.col("name"), True))).otherwise(none_such)
+    things = state.select("org", "_i", "shown", F.explode(F.array_distinct(F.concat(present, F.coalesce(F.flatten(F.transform("former", marks)), none_such)))).alias("t"))
+    return differences(things.select("org", "_i", "shown", "t.*"), ["org", "kind", "item", "day"], ["name", "shown", "shows", "reg"], ["name"])
+
+
+def name_history(register: DataFrame) -> DataFrame:
+    """Each organisation's names with their periods, from the change events of its present and former names.
+
+    The events are united on one time line for each organisation: a present name that appears (inserted or changed), one
+    that was shown for the last time (changed or deleted), and the start and end of a former name when it is first
+    listed. Lists that lack a former name later delete nothing. Where a former name's dates fall between the appearance
+    and the end of a present name, that name goes on after them, from the next snapshot that shows it. Neighbours on
+    the line with one name are one period, and ``lead`` gives each its end. A former name with neither date stands just
+    before the first snapshot that lists it.
+    """
+    found = name_events(register)
+    text = F.lit(None).cast("string")
+
+    def event(day: Column, kind: Column | int, name: Column, shown: Column, opens: Column) -> Column:
+        return F.struct(_at(day, kind).alias("at"), name.alias("name"), shown.alias("shown"), opens.alias("opens"))
+
+    fresh, gone = F.col("change").isin("inserted", "changed"), F.col("change").isin("changed", "deleted")
+    own = F.col("kind") == 1
+    begins = F.when(own & fresh, event(F.col("shown"), 1, F.col("name"), F.col("shown"), F.col("name")))
+    ends = F.when(own & gone, event(F.col("before_shown"), 1, F.col("before_name"), F.col("before_shown"), text))
+    dated = F.coalesce("day", "shown")
+    lists = F.when(~own & (F.col("change") == "inserted"), event(dated, F.col("kind"), F.col("name"), F.col("shown"), text))
+    events = found.select("org", F.max("shows").over(W.partitionBy("org")).alias("shows"), F.max("reg").over(W.partitionBy("org")).alias("reg"), "kind", F.explode(F.filter(F.array(ends, begins, lists), lambda e: e.isNotNull())).alias("e"))
+    events = events.groupBy("org", "e.name", "e.at", own.alias("own"), F.col("e.opens").alias("opens")).agg(F.min("e.shown").alias("shown"), F.first("shows").alias("shows"), F.first("reg").alias("reg"))
+    line = W.partitionBy("org").orderBy("at", "shown", "name", F.col("opens").isNull())  # a start before the end of one snapshot
+    state = F.struct(F.col("opens").alias("name"))
+    events = events.withColumn("_open", F.last(F.when(F.col("own"), state), ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0))["name"]).withColumn("_next", F.lead("at").over(line))
+    between = F.filter("shows", lambda s: (_at(s, 1) > F.col("at")) & (F.col("_next").isNull() | (_at(s, 1) < F.col("_next"))))
+    goes_on = F.when(F.col("_open").isNotNull() & (F.size(between) > 0), F.struct(F.lit(1).alias("sub"), F.col("_open").alias("name"), F.array_min(between).alias("first"), F.array_max(between).alias("last"), F.array_min(between).alias("shown")))
+    itself = F.struct(F.lit(0).alias("sub"), F.col("name"), F.col("at.day").alias("first"), F.col("at.day").alias("last"), F.col("shown"))
+    shown = events.select("org", "reg", "at", F.col("shown").alias("_shown"), F.col("name").alias("_name"), F.col("opens").isNull().alias("_ends"), F.explode(F.filter(F.array(itself, goes_on), lambda e: e.isNotNull())).alias("e"))
+    along = W.partitionBy("org").orderBy("at", "_shown", "_name", "_ends", "e.sub")
+    shown = shown.withColumn("_new", (~F.lag("e.name").over(along).eqNullSafe(F.col("e.name"))).cast("int"))
+    shown = shown.withColumn("_p", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    kind = F.when(F.col("e.sub") == 0, F.col("at.kind"))
+    periods = shown.groupBy("org", "_p").agg(
+        F.first("e.name").alias("navn"), F.first("reg").alias("reg"), F.min("e.first").alias("_first"), F.max("e.last").alias("_last"),
+        F.min(F.when(kind == 2, F.col("at.day"))).alias("fra"), F.max(F.when(kind == 0, F.col("at.day"))).alias("til"), F.min("e.shown").alias("shown"),
     )
     periods = periods.withColumn("fra", F.when(F.col("fra") <= F.col("_first"), F.col("fra"))).withColumn("til", F.when(F.col("til") >= F.col("_last"), F.col("til")))
-    registered = now.groupBy("org").agg(F.min("reg").alias("reg"))
     order = W.partitionBy("org").orderBy("_p")
     start = F.when(F.col("_p") == 1, F.coalesce("fra", "reg", "shown")).otherwise(F.coalesce(F.lag("til").over(order), "fra", "shown"))
-    dated = periods.join(registered, "org", "left").withColumn("valid_from", start)
-    dated = dated.withColumn("valid_to", F.coalesce(F.lead("valid_from").over(order), F.lit("")))
-    return dated.select(F.col("org").alias("organisasjonsnummer"), "navn", "valid_from", "valid_to")
+    valid = periods.withColumn("valid_from", start)
+    valid = valid.withColumn("valid_to", F.coalesce(F.lead("valid_from").over(order), F.lit("")))
+    return valid.select(F.col("org").alias("organisasjonsnummer"), "navn", "valid_from", "valid_to")

@@ -52,3 +52,31 @@ def test_hot_key_with_many_copies(spark):
     rows = [("k", 1 + i % 2, i, "ab"[i % 2]) for i in range(3000)] + [(str(i), 1, 1, "c") for i in range(50)]
     out = history.attribute_history(spark.createDataFrame(rows, "k string, s int, v int, a string"), ["k"], "s", "v", ["a"])
     assert out.count() == 52
+
+
+def test_present_name_goes_on_after_a_former_name_without_end(spark):
+    rows = [row(0, "A"), row(1, "A"), row(2, "A", [("B", "2025-05-01", None)]), row(3, "A")]
+    assert found(spark, rows) == [("1", "A", "2000-01-02", "2025-05-01"), ("1", "A", "2025-06-30", ""), ("1", "B", "2025-05-01", "2025-06-30")]
+
+
+def test_end_of_a_name_that_is_shown_longer_doesnt_count(spark):
+    rows = [row(0, "A"), row(1, "A"), row(2, "B", [("A", None, "2025-05-05")]), row(3, "B")]
+    assert found(spark, rows) == [("1", "A", "2000-01-02", "2025-09-30"), ("1", "B", "2025-09-30", "")]
+
+
+def test_rows_come_from_the_differences(spark, monkeypatch):
+    """Without the join's classification, when every row of a snapshot is taken as new, the periods are other ones."""
+    rows = [row(0, "A"), row(1, "A"), row(2, "B", [("A", None, "2025-05-05")]), row(3, "B")]
+    right = found(spark, rows)
+
+    def plain(now, keys, attrs, compared):
+        from pyspark.sql import functions as F
+
+        return now.select(*keys, "_i", F.lit("inserted").alias("change"), *attrs, *[F.lit(None).cast(now.schema[a].dataType).alias(f"before_{a}") for a in attrs])
+
+    monkeypatch.setattr(history, "differences", lambda now, *args: plain(now, *args).where("_i > 0"))
+    assert found(spark, rows) != right or name_events_of(spark, rows) != right
+
+
+def name_events_of(spark, rows):
+    return sorted((r.change, r.kind, r.name) for r in history.name_events(spark.createDataFrame(rows, SCHEMA)).collect())
