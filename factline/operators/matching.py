@@ -83,18 +83,24 @@ def cascade(matches: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:
     return matches.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def ancestors(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """child, ancestor and distance over edges (child, parent), each level an equi join; stops when nothing is new.
+def ancestors(edges: DataFrame) -> DataFrame:
+    """child, ancestor and distance over edges (child, parent), to any depth; distance is the least.
 
-    A cycle ends at depth. Null children or parents are no edges.
+    Paths double in length from round to round, so depth d takes about log2(d) rounds, each an equi join of written
+    tables, with salts for ancestors that very many have. Null children or parents are no edges, nor are edges of a child
+    to itself. A cycle raises ValueError.
     """
-    edges = edges.where("child is not null and parent is not null").select("child", "parent").distinct()
-    level = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    out = level
-    step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("_up"))
-    for n in range(2, depth + 1):
-        level = level.join(step, "ancestor").select("child", F.col("_up").alias("ancestor"), F.lit(n).alias("distance")).where("child <> ancestor").distinct()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))
+    edges = edges.where("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
+    paths = materialize(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "edges")
+    reach = 1
+    while True:
+        longest = paths.where(F.col("distance") > reach // 2) if reach > 1 else paths
+        step = paths.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("distance").alias("_more"))
+        longer = hot_join(longest, step, "ancestor").select("child", F.col("_up").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
+        every = paths.unionByName(longer).groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))
+        every = materialize(every, "paths")
+        if not every.where("child = ancestor").isEmpty():
+            raise ValueError("the hierarchy has a cycle")
+        if every.count() == paths.count():
+            return every
+        paths, reach = every, 2 * reach

@@ -8,37 +8,46 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of a hot key's rows, and copies of the rows that join to it.
-SALTS = 16
-#: A key is hot with more rows than this; the most frequent so many keys are looked at. With N rows in all, a key
-#: beyond them has at most N / MOST_KEYS, which any task can take that takes its share of N.
+from ..runtime import BROADCAST_ROWS
+
+#: A key is hot with more rows than this, and is spread over as many parts as it has so many rows.
 HOT_ROWS = 100_000
-MOST_KEYS = 256
+
+#: A hot key and the number of its parts.
+Hot = tuple[Any, int]
 
 
-def hot_keys(rows: DataFrame, key: str, least: int = HOT_ROWS) -> list[Any]:
-    """The keys with more than least rows, at most MOST_KEYS of them; counts are combined on the map side.
+def hot_keys(rows: DataFrame, key: str, least: int | None = None) -> list[Hot]:
+    """The keys with more than least rows, each with the number of its parts; counts are combined on the map side.
 
-    rows are scanned once, so they should be a written table.
+    Of N rows at most BROADCAST_ROWS keys can have more than N / BROADCAST_ROWS each. Where more keys than that have
+    more than least rows, that quotient takes its place: the list is never longer, and any key that isn't on it has no
+    more rows than one of so many tasks gets anyway. rows are scanned once or twice, so they should be a written table.
     """
+    least = HOT_ROWS if least is None else least
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
-    return [r[key] for r in counts.where(F.col("count") > least).orderBy(F.desc("count"), key).limit(MOST_KEYS).collect()]
+    found = counts.where(F.col("count") > least).limit(BROADCAST_ROWS + 1).collect()
+    if len(found) > BROADCAST_ROWS:
+        least = -(-rows.count() // BROADCAST_ROWS)
+        found = counts.where(F.col("count") > least).collect()
+    return sorted(((r[key], -(-r["count"] // least)) for r in found), key=str)
 
 
-def hot_join(many: DataFrame, few: DataFrame, key: str, hot: Sequence[Any] | None = None, salts: int = SALTS) -> DataFrame:
-    """Inner join in which the rows of many with a hot key are spread over salts partitions.
+def hot_join(many: DataFrame, few: DataFrame, key: str, hot: Sequence[Hot] | None = None, how: str = "inner") -> DataFrame:
+    """Join (inner or left) in which the rows of many with a hot key are spread over the key's parts.
 
-    The rows of few with a hot key are repeated for each salt; all others meet as in any join. hot are the keys of
-    hot_keys(many, key), which is asked where none are given. The salt of a row is its hash, so it is the same when a
-    lost task is run again. Null keys match nothing.
+    The rows of few with a hot key are repeated for each part; all others meet as in any join. hot are the keys of
+    hot_keys(many, key), which is asked where none are given. The part of a row follows from its hash, so it is the same
+    when a lost task is run again. Null keys match nothing.
     """
     if hot is None:
         hot = hot_keys(many, key)
     if not hot:
-        return many.join(few, key)
-    is_hot = F.col(key).isin(*hot)
+        return many.join(few, key, how)
+    spark = many.sparkSession
+    kind = many.schema[key].dataType.simpleString()
+    parts = F.broadcast(spark.createDataFrame(list(hot), f"`{key}` {kind}, _parts int"))  # at most BROADCAST_ROWS rows
     others = [c for c in many.columns if c != key]
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).otherwise(0) if others else F.lit(0)
-    every = F.array(*[F.lit(i) for i in range(salts)])
-    right = few.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    return many.withColumn("_salt", salt).join(right, [key, "_salt"]).drop("_salt")
+    left = many.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(*others) if others else F.lit(0), F.coalesce("_parts", F.lit(1)).cast("long"))).drop("_parts")
+    right = few.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from factline.operators import choosing, matching, skew, stats
@@ -9,13 +11,25 @@ from factline.plans import matching_queries
 def test_hot_join_is_an_inner_join(spark):
     many = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(900)] + [(None, -1)], "k string, i int")
     few = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k3", "c"), (None, "d")], "k string, x string")
-    assert skew.hot_keys(many, "k", 100) == ["hot"] and skew.hot_keys(many, "k") == []
+    assert skew.hot_keys(many, "k", 100) == [("hot", 6)] and skew.hot_keys(many, "k") == []
     want = sorted(map(tuple, many.join(few, "k").select("k", "i", "x").collect()))
     assert len(want) == 1201
-    for hot in (None, [], ["hot"], ["hot", "k3"]):
+    for hot in (None, [], [("hot", 6)], [("hot", 3), ("k3", 2)]):
         assert sorted(map(tuple, skew.hot_join(many, few, "k", hot).select("k", "i", "x").collect())) == want
 
 
+def test_any_number_of_hot_keys(spark, monkeypatch):
+    many = spark.range(9000).selectExpr("concat('k', id % 300) as k", "id as i")
+    found = skew.hot_keys(many, "k", 10)
+    assert len(found) == 300 and {n for _, n in found} == {3}
+    few = spark.range(300).selectExpr("concat('k', id) as k", "id as x")
+    assert skew.hot_join(many, few, "k", found).where("i % 300 = x").count() == 9000
+    left = skew.hot_join(many, few.where("x < 10"), "k", found, "left")
+    assert left.count() == 9000 and left.where("x is null").count() == 8700
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 100)  # more hot keys than a list may have: the bound follows the rows
+    assert skew.hot_keys(many, "k", 10) == []
+
+
 def test_token_overlap_against_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(25)]
@@ -40,10 +54,18 @@ def test_several_keys_name_what_agrees(spark):
     assert sorted((x.l, x.r, x.how, x.matches) for x in got) == [("l", "r", ["name", "tel"], 2), ("l", "s", ["name"], 1)]
 
 
-def test_ancestors_with_cycle_and_nulls(spark):
-    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", None), (None, "a"), ("a", "b")], "child string, parent string")
-    got = {(r.child, r.ancestor): r.distance for r in matching.ancestors(e).collect()}
-    assert got == {("a", "b"): 1, ("b", "c"): 1, ("c", "a"): 1, ("a", "c"): 2, ("b", "a"): 2, ("c", "b"): 2}
+def test_ancestors_to_any_depth_with_nulls_and_two_ways(spark):
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("n0", "n5"), ("d", None), (None, "n0"), ("n0", "n1"), ("n3", "n3")]
+    got = {(r.child, r.ancestor): r.distance for r in matching.ancestors(spark.createDataFrame(rows, "child string, parent string")).collect()}
+    want = {(f"n{i}", f"n{j}"): j - i for i in range(41) for j in range(i + 1, 41)}
+    want |= {("n0", f"n{j}"): j - 4 for j in range(5, 41)}
+    assert got == want
+    assert matching.ancestors(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+def test_ancestors_refuse_a_cycle(spark):
+    with pytest.raises(ValueError):
+        matching.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string"))
 
 
 def test_cascade_takes_the_first_kind(spark):
