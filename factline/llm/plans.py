@@ -66,6 +66,11 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.md5("form").alias("form"), F.length("form").alias("length"), F.col("form").eqNullSafe(F.col("text")).alias("unchanged"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each look with several spellings, by spelling: its documents, and how many documents of other spellings look the same."""
+    return visual.classes_of(table(spark, d, "documents"))[0].where("spellings > 1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_margins": p8_margins,
         "p9_found": p9_found,
         "p9_forms": p9_forms,
+        "p9_classes": p9_classes,
     }
 
 
