@@ -11,17 +11,20 @@ member's ordinals, with an ordinal of -2 and no child for an empty array; arrays
 are objects of kind array with the member ''.
 roots: the record's key, root. A null record has no row; text that isn't JSON becomes a scalar.
 
-Depth is bounded only by the JSON parser; a record that it refuses is kept as a scalar of its text. Doubles are
-compared by their shortest text, member order and spacing don't matter, of repeated members the last holds. Repeats
-are reduced where they are read and again by map-side aggregation. Identities that very many parents share are found
-once, and joined in parts (``hot_join``).
+Depth has no bound: texts that are too deep for the JSON library are parsed with an explicit stack, and the walk has one
+too. Text that isn't JSON becomes a scalar. Doubles are compared by their shortest text, member order and spacing don't
+matter, of repeated members the last holds. Lone surrogates count in identities and are given out as escapes. Repeats
+are reduced where they are read; an identity's content and children are one row, so one aggregation stores it once.
+Identities that very many parents share are found once, and joined in parts (``hot_join``).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator, Sequence
+from json.decoder import scanstring
 from typing import Any
 
 import pyarrow as pa
@@ -39,52 +42,140 @@ def _dumps(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def _sha(kind: str, content: str, children: list[tuple[str, int, str | None]]) -> str:
-    return hashlib.sha256("\x1e".join([kind, content, *(f"{m}\x1f{o}\x1f{c or ''}" for m, o, c in children)]).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+Children = list[tuple[str, int, str | None]]
 
 
-def walk(value: Any, objects: dict[str, tuple[str, str, list[tuple[str, int, str | None]]]]) -> str:
+def _sha(kind: str, content: str, children: Children) -> str:
+    """128 bits of the SHA-256 of all parts, each after its length, so no two lists of parts are one text."""
+    parts = [kind, content]
+    for m, o, c in children:
+        parts += (m, str(o), c or "")
+    return hashlib.sha256("".join([f"{len(p)}:{p}" for p in parts]).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+
+
+def walk(value: Any, objects: dict[str, tuple[str, str, Children]]) -> str:
     """The identity of a parsed JSON value; objects gets every identity below it with its kind, content and children."""
-    children: list[tuple[str, int, str | None]] = []
-    if isinstance(value, dict):
-        kind, scalars = "object", {}
-        for k in sorted(value):
-            v = value[k]
-            if isinstance(v, dict):
-                children.append((k, SINGLE, walk(v, objects)))
-            elif isinstance(v, list):
-                children += [(k, i, walk(x, objects)) for i, x in enumerate(v)] or [(k, EMPTY, None)]
+    order: list[Any] = [value]
+    plans: list[tuple[str, str, list[tuple[str, int, int | None]]]] = []
+    for v in order:  # grows while it is walked
+        children: list[tuple[str, int, int | None]] = []
+        if isinstance(v, dict):
+            kind, scalars = "object", {}
+            for k in sorted(v):
+                x = v[k]
+                if isinstance(x, dict):
+                    children.append((k, SINGLE, len(order)))
+                    order.append(x)
+                elif isinstance(x, list):
+                    children += [(k, i, len(order) + i) for i in range(len(x))] or [(k, EMPTY, None)]
+                    order += x
+                else:
+                    scalars[k] = x
+            content = _dumps(scalars)
+        elif isinstance(v, list):
+            kind, content = "array", str(len(v))
+            children = [("", i, len(order) + i) for i in range(len(v))]
+            order += v
+        else:
+            kind, content = ("null" if v is None else "scalar"), _dumps(v)
+        plans.append((kind, content, children))
+    keys = [""] * len(plans)
+    for i in range(len(plans) - 1, -1, -1):  # children come after their parents
+        kind, content, places = plans[i]
+        children = [(m, o, None if c is None else keys[c]) for m, o, c in places]
+        keys[i] = _sha(kind, content, children)
+        objects.setdefault(keys[i], (kind, content, children))
+    return keys[0]
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+def parse_deep(text: str) -> Any:
+    """The value of a JSON text of any depth, with an explicit stack; ValueError if it isn't JSON."""
+    out: list[Any] = []
+    stack: list[Any] = [out]
+    names: list[str | None] = [None]
+    at, size = _SPACE.match(text).end(), len(text)
+    ready, first = True, False  # whether a value may come, and whether the container may end before it
+
+    def put(v: Any) -> None:
+        if isinstance(stack[-1], dict):
+            stack[-1][names[-1]] = v
+        else:
+            stack[-1].append(v)
+
+    while at < size:
+        c = text[at]
+        if c in "}]" and len(stack) > 1 and (first or not ready) and isinstance(stack[-1], dict if c == "}" else list):
+            stack.pop()
+            names.pop()
+            at, ready, first = at + 1, False, False
+        elif not ready and c == "," and len(stack) > 1:
+            at, ready = at + 1, True
+        elif ready:
+            if isinstance(stack[-1], dict):
+                if c != '"':
+                    raise ValueError("a member has no name")
+                names[-1], at = scanstring(text, at + 1)
+                at = _SPACE.match(text, at).end()
+                if text[at : at + 1] != ":":
+                    raise ValueError("a member has no value")
+                at = _SPACE.match(text, at + 1).end()
+                c = text[at : at + 1]
+            if c == '"':
+                v, at = scanstring(text, at + 1)
+                put(v)
+                ready, first = False, False
+            elif c and c in "{[":
+                v = {} if c == "{" else []
+                put(v)
+                stack.append(v)
+                names.append(None)
+                at, first = at + 1, True
             else:
-                scalars[k] = v
-        content = _dumps(scalars)
-    elif isinstance(value, list):
-        kind, content = "array", str(len(value))
-        children = [("", i, walk(x, objects)) for i, x in enumerate(value)]
-    else:
-        kind, content = ("null" if value is None else "scalar"), _dumps(value)
-    key = _sha(kind, content, children)
-    objects.setdefault(key, (kind, content, children))
-    return key
+                found = _ATOM.match(text, at)
+                if not found:
+                    raise ValueError("no value")
+                put(json.loads(found.group()))
+                at, ready, first = found.end(), False, False
+        else:
+            raise ValueError("something follows a value")
+        at = _SPACE.match(text, at).end()
+    if len(stack) > 1 or len(out) != 1 or ready:
+        raise ValueError("the text ends too early")
+    return out[0]
 
 
 def parse(text: str) -> Any:
+    """The value of a JSON text; the text itself if it isn't JSON."""
     try:
         return json.loads(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            return parse_deep(text)
+        except ValueError:
+            return text
+    except ValueError:
         return text
 
 
-def walk_text(text: str, objects: dict[str, tuple[str, str, list[tuple[str, int, str | None]]]]) -> str:
-    """The identity of a JSON text; one that is too deep for the interpreter is a scalar of its text."""
-    try:
-        return walk(parse(text), objects)
-    except RecursionError:
-        objects.clear()
-        return walk(text, objects)
+def walk_text(text: str, objects: dict[str, tuple[str, str, Children]]) -> str:
+    """The identity of a JSON text."""
+    return walk(parse(text), objects)
+
+
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _shown(text: str | None) -> str | None:
+    """text with lone surrogates as JSON escapes, as UTF-8 has no place for them."""
+    return text if text is None or text.isascii() else _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
 
 
 def rebuild(root: str, objects: dict[str, tuple[str, str]], bridge: dict[str, list[tuple[str, int, str | None]]]) -> Any:
-    """The value of an identity, from rows of objects (hash to kind and content) and bridge (parent to its children)."""
+    """The value of an identity (of ordinary depth), from rows of objects (hash to kind and content) and bridge (parent to its children)."""
     kind, content = objects[root]
     children = sorted(bridge.get(root, []), key=lambda x: (x[0], x[1]))
     if kind == "array":
@@ -103,29 +194,43 @@ def rebuild(root: str, objects: dict[str, tuple[str, str]], bridge: dict[str, li
 #: Distinct identities that a task remembers as already given; a full memory is dropped, which costs only repeats.
 REMEMBERED = 200_000
 
-_ROWS = "part string, key string, kind string, content string, member string, ordinal int, child string"
+_CHILD = pa.struct([("member", pa.string()), ("ordinal", pa.int32()), ("child", pa.string())])
+_ARROW = pa.schema([("part", pa.string()), ("key", pa.string()), ("root", pa.string()), ("kind", pa.string()), ("content", pa.string()), ("children", pa.list_(_CHILD))])
+_ROWS = "part string, key string, root string, kind string, content string, children array<struct<member:string,ordinal:int,child:string>>"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    offsets, members, ordinals, children = [0], [], [], []
+    for row in columns[5]:
+        for m, o, c in row:
+            members.append(_shown(m))
+            ordinals.append(o)
+            children.append(c)
+        offsets.append(len(members))
+    inner = pa.StructArray.from_arrays([pa.array(members, pa.string()), pa.array(ordinals, pa.int32()), pa.array(children, pa.string())], fields=list(_CHILD))
+    nested = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:5]), nested.cast(_ARROW.field(5).type)], schema=_ARROW)
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("part", pa.string()), ("key", pa.string()), ("kind", pa.string()), ("content", pa.string()), ("member", pa.string()), ("ordinal", pa.int32()), ("child", pa.string())])
     given: set[str] = set()
     for batch in batches:
         out: list[tuple] = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            objects: dict[str, tuple[str, str, list]] = {}
-            out.append(("root", key, None, None, None, None, walk_text(text, objects)))
+            objects: dict[str, tuple[str, str, Children]] = {}
+            out.append(("root", key, walk_text(text, objects), None, None, ()))
             for h, (kind, content, children) in objects.items():
                 if h not in given:
                     given.add(h)
-                    out.append(("object", h, kind, content, None, None, None))
-                    out += [("bridge", h, None, None, m, o, c) for m, o, c in children]
+                    out.append(("object", h, None, kind, _shown(content), children))
             if len(given) > REMEMBERED:
                 given.clear()
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield _batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield _batch(out)
 
 
 class Shredded:
@@ -155,11 +260,12 @@ def shred(records: DataFrame, key: str, body: str, name: str = "shredded") -> Sh
     kind = records.schema[body].dataType.typeName()
     text = F.col(body) if kind == "string" else F.to_json(F.col(body), {"ignoreNullFields": "false"})
     rows = materialize(records.select(F.col(key).cast("string").alias("key"), text.alias("text")).where("text is not null").mapInArrow(_shred, _ROWS), name, ["part"])
-    roots = rows.where("part = 'root'").select(F.col("key"), F.col("child").alias("root"))
-    objects = rows.where("part = 'object'").groupBy(F.col("key").alias("hash")).agg(F.min("kind").alias("kind"), F.min("content").alias("content"))
-    bridge = rows.where("part = 'bridge'").select(F.col("key").alias("parent"), "member", "ordinal", "child").distinct()
-    hot = hot_keys(rows.where("part <> 'object'"), "child")  # identities that occur very often
-    return Shredded(roots, objects, bridge, hot)
+    roots = rows.where("part = 'root'").select("key", "root")
+    stored = rows.where("part = 'object'").select(F.col("key").alias("hash"), "kind", "content", "children").dropDuplicates(["hash"])
+    stored = materialize(stored, f"{name}-objects")
+    bridge = stored.select(F.col("hash").alias("parent"), F.explode("children").alias("c")).select("parent", "c.member", "c.ordinal", "c.child")
+    uses = bridge.select("child").unionByName(roots.select(F.col("root").alias("child")))
+    return Shredded(roots, stored.drop("children"), bridge, hot_keys(uses, "child"))  # identities that occur very often
 
 
 def latest_body(rows: DataFrame, key: str, at: str, body: str) -> DataFrame:

@@ -54,7 +54,48 @@ def test_latest_body_and_struct_bodies(spark):
 
 
 @pytest.mark.parametrize("depth", [50, 900, 2_000, 20_000, 100_000])
-def test_deep_records_dont_crash(depth):
+def test_deep_records_keep_all_levels(depth):
     objects = {}
-    assert nested.walk_text("[" * depth + "]" * depth, objects) in objects
-    assert nested.walk_text('{"a":' * depth + "1" + "}" * depth, {})
+    root = nested.walk_text("[" * depth + "]" * depth, objects)
+    assert objects[root][0] == "array" and len(objects) == depth
+    objects = {}
+    root = nested.walk_text('{"city":"Oslo","a":' * depth + "1" + "}" * depth, objects)
+    assert objects[root][:2] == ("object", '{"city":"Oslo"}') and len(objects) == depth
+
+
+def test_deep_record_as_a_job(spark):
+    text = '{"places":[{"city":"Oslo"}],"a":' * 5000 + "{}" + "}" * 5000
+    t = nested.shred(spark.createDataFrame([("k", text)], "key string, body string"), "key", "body")
+    assert t.content(t.under(t.roots, "root", "places", "place", "i"), "place", "content", t.objects["kind"] == "object").count() == 1
+    assert t.objects.count() == 5002
+
+
+@settings(max_examples=200, deadline=None)
+@given(values, st.integers(0, 3))
+def test_deep_parser_agrees(value, indent):
+    text = json.dumps(value, indent=indent or None)
+    assert nested.parse_deep(f" {text}\n") == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a"}', '{"a":}', "[1 2]", "1 2", '{"a":1,}', "]", "[}", "nul", '{1:2}', "[,1]", '"x', ",", "{]"])
+def test_deep_parser_refuses(text):
+    with pytest.raises(ValueError):
+        nested.parse_deep(text)
+
+
+def test_lone_surrogates_are_kept_as_escapes(spark):
+    rows = [("a", '{"x":"\\ud800","\\udfff":{"y":1},"z":["\\ud800"]}'), ("b", '"\\ud83d\\ude00"')]
+    t = nested.shred(spark.createDataFrame(rows, "key string, body string"), "key", "body")
+    contents = {r.content for r in t.objects.collect()}
+    assert '{"x":"\\ud800"}' in contents and '"😀"' in contents
+    assert {r.member for r in t.bridge.collect()} == {"\\udfff", "z"}
+
+
+def test_identities_are_of_whole_parts():
+    """Names that hold what parts an identity's text are other objects."""
+    inner = nested.walk({}, {})
+    a = nested.walk({"a": {}, "b": {}}, {})
+    for sep in "\x1e\x1f,:0123456789":
+        for n in (-1, 1, 2, 32):
+            name = f"a{sep}{n}{sep}{inner}{sep}b"
+            assert nested.walk({name: {}}, {}) != a
