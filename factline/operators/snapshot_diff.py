@@ -1,13 +1,12 @@
 """What changed between consecutive full snapshots, by invertible Bloom lookup tables.
 
-Each snapshot's rows become pairs of a 128-bit key hash and a 64-bit hash of the values. For every two consecutive
-snapshots and every hash bucket one table of cells is built in which the later snapshot counts +1 and the earlier -1,
-so equal pairs cancel out. Peeling the cells gives back exactly the differing pairs; a digest of the whole bucket,
-kept beside the cells, proves it. A bucket that fails is built again with as many cells as its filling asks for. A key
-recovered on both sides was changed, on one side added or removed.
-
-Only cells are aggregated and sent: their number follows the differences, not the rows. Map-side aggregation reduces
-each task's rows to cells first, so hot keys don't matter. The loop over rounds collects one number a round.
+Each snapshot's rows become a 128-bit key hash and a 64-bit hash of the values, which are shuffled once, by hash bucket;
+copies of a row are put together before, batch by batch, so a hot key is no hot bucket. In its task each bucket of each
+snapshot becomes a table of cells. The table of a snapshot less that of the snapshot before leaves what differs, as
+equal pairs cancel out; peeling its cells gives back exactly the differing pairs, and a digest of the whole bucket, kept
+beside the cells, proves it. Where that fails both tables are built again with as many cells as the filling asks for. A
+key recovered on both sides was changed, on one side added or removed. What is shuffled is about 40 bytes for each row,
+however many tasks there are; what leaves the buckets follows the differences.
 
 Nulls: null and '' in a key column are one where the caller maps them so; any null is a value of its own. Of rows of
 one key and snapshot the one with the latest version column holds, then the greatest value hash. Snapshots without rows
@@ -16,12 +15,11 @@ don't exist: consecutive are those that do. An empty table or a single snapshot
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +30,10 @@ HASHES = 4
 #: Rows of one snapshot that a bucket should hold, and cells for each of them in the first round.
 BUCKET_ROWS = 4096
 FIRST_CELLS = 2048
-#: Rounds of enlarging; a round at least doubles the cells, so only a defect in the data could use them up.
+#: Rounds of enlarging; a round at least doubles the cells, so only a defect could use them up, and raises RuntimeError.
 ROUNDS = 24
+#: Differences that are broadcast to the rows to be named; with more of them both sides are shuffled.
+FOUND_ROWS = 200_000
 
 
 def canonical_json(value: Column, without: Sequence[str] = ()) -> Column:
@@ -60,13 +60,18 @@ def hash_of(seed: str, *cols: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def hashed_state(rows: DataFrame, snapshot: str, keys: dict[str, Column], values: Sequence[Column], version: str) -> DataFrame:
-    """snapshot, the key columns, hashes h1 and h2 of the key and v of the values; one row for each key and snapshot."""
-    names = list(keys)
-    hashed = rows.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("snapshot"), *[c.alias(k) for k, c in keys.items()], F.col(version).alias("_at"), hash_of("v", *values).alias("v"))
-    best = hashed.groupBy("snapshot", *names).agg(F.max(F.struct("_at", "v")).alias("m"))
-    cols = [F.col(k) for k in names]
-    return best.select("snapshot", *names, hash_of("a", *cols).alias("h1"), hash_of("b", *cols).alias("h2"), F.col("m.v").alias("v"))
+def hashed_rows(rows: DataFrame, snapshot: str, keys: dict[str, Column], values: Sequence[Column], version: str) -> DataFrame:
+    """snapshot, hashes h1 and h2 of the key and v of the values, and at, the version as a number (null: the least)."""
+    kind = rows.schema[version].dataType
+    at = F.col(version)
+    if isinstance(kind, T.TimestampType):
+        at = F.unix_micros(at)
+    elif isinstance(kind, T.DateType):
+        at = F.unix_date(at)
+    elif not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{version} is neither a number nor an instant")
+    cols = list(keys.values())
+    return rows.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).cast("int").alias("snapshot"), hash_of("a", *cols).alias("h1"), hash_of("b", *cols).alias("h2"), hash_of("v", *values).alias("v"), F.coalesce(at.cast("long"), F.lit(-(1 << 63))).alias("at"))
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -91,18 +96,31 @@ def xx_longs(first: int, *cols: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def build_cells(entries: DataFrame) -> DataFrame:
-    """Cells of entries (pair, bucket, cells, sign, h1, h2, v): those of the hash functions, and the digest as cell -1.
+Table = tuple[np.ndarray, ...]
+
+
+def build(cells: int, h1: np.ndarray, h2: np.ndarray, v: np.ndarray) -> Table:
+    """The table of some pairs: count, and the exclusive ors of h1, h2, v and the check hash, by cell; last the digest.
 
     Hash function i has the i-th part of the cells, a multiple of HASHES, to itself.
     """
-    h1, h2, v = F.col("h1"), F.col("h2"), F.col("v")
-    width = F.shiftright(F.col("cells"), HASHES.bit_length() - 1)
-    places = [(F.lit(i) * width + F.pmod(F.xxhash64(F.lit(i).cast("long"), h1, h2, v), width.cast("long"))).cast("int") for i in range(HASHES)]
-    rows = entries.withColumn("chk", F.xxhash64(F.lit(_CHECK).cast("long"), h1, h2, v)).withColumn("cell", F.explode(F.array(F.lit(-1), *places)))
-    return rows.groupBy("pair", "bucket", "cells", "cell").agg(
-        F.sum("sign").alias("n"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.bit_xor("v").alias("xv"), F.bit_xor("chk").alias("xc")
-    )
+    width = cells // HASHES
+    fields = (h1, h2, v, xx_longs(_CHECK, h1, h2, v))
+    count, xors = np.zeros(cells + 1, np.int64), [np.zeros(cells + 1, np.int64) for _ in fields]
+    count[cells] = len(h1)
+    for x, f in zip(xors, fields, strict=True):
+        x[cells] = np.bitwise_xor.reduce(f) if len(f) else 0
+    for i in range(HASHES):
+        at = i * width + np.mod(xx_longs(i, h1, h2, v), width)
+        count[:cells] += np.bincount(at, minlength=cells)
+        for x, f in zip(xors, fields, strict=True):
+            np.bitwise_xor.at(x, at, f)
+    return (count, *xors)
+
+
+def subtract(later: Table, earlier: Table) -> Table:
+    """What differs: equal pairs of both tables are gone."""
+    return (later[0] - earlier[0], *(a ^ b for a, b in zip(later[1:], earlier[1:], strict=True)))
 
 
 def peel(cells: int, at: np.ndarray, n: np.ndarray, *xors: np.ndarray) -> tuple[bool, int, list[np.ndarray]]:
@@ -146,57 +164,84 @@ def peel(cells: int, at: np.ndarray, n: np.ndarray, *xors: np.ndarray) -> tuple[
     return clean and want == have, guess, out
 
 
-_PEELED = "pair int, bucket long, need int, side int, h1 long, h2 long, v long"
-
-
-def _peel_group(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-    """One row for each recovered entry; for a bucket that failed a single row with the cells that it needs."""
-    pair, bucket, size = int(key[0]), int(key[1]), int(key[2])
-    ok, guess, (side, h1, h2, v) = peel(size, cells["cell"].to_numpy(), *(cells[c].to_numpy(np.int64) for c in ("n", "x1", "x2", "xv", "xc")))
-    if ok:
-        return pd.DataFrame({"pair": pair, "bucket": bucket, "need": 0, "side": side, "h1": h1, "h2": h2, "v": v}).astype({"pair": "int32", "need": "int32", "side": "int32"})
-    need = max(2 * size, int(1.6 * guess) + 64)
-    return pd.DataFrame({"pair": [pair], "bucket": [bucket], "need": [min(need, 1 << 30) // HASHES * HASHES], "side": [0], "h1": [0], "h2": [0], "v": [0]})
-
-
-def differing(state: DataFrame, bucket_rows: int = BUCKET_ROWS, first_cells: int = FIRST_CELLS) -> DataFrame:
+_ENTRY = ("snapshot", "h1", "h2", "v", "at")
+_ENTRIES = "bucket long, snapshot int, h1 long, h2 long, v long, at long"
+_FOUND = "pair int, before int, h1 long, h2 long, added boolean, removed boolean"
+
+
+def _latest(snapshot: np.ndarray, h1: np.ndarray, h2: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places of one row for each key and snapshot: that of the greatest at, then of the greatest v."""
+    order = np.lexsort((v, at, h2, h1, snapshot))
+    a, b, c = snapshot[order], h1[order], h2[order]
+    last = np.ones(len(order), bool)
+    last[:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    return order[last]
+
+
+def _put_together(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cols = [b[c].to_numpy(np.int64) for c in _ENTRY]
+            kept = _latest(*cols)
+            out = {c: x[kept] for c, x in zip(_ENTRY, cols, strict=True)}
+            yield pd.DataFrame({"bucket": np.mod(out["h1"], buckets), **out}).astype({"snapshot": "int32"})
+
+    return run
+
+
+def _compare(order: Sequence[int], first_cells: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """What differs in a bucket between every two consecutive snapshots."""
+
+    def run(_: tuple, bucket: pd.DataFrame) -> pd.DataFrame:
+        cols = [bucket[c].to_numpy(np.int64) for c in _ENTRY]
+        kept = _latest(*cols)
+        snapshot, h1, h2, v = (x[kept] for x in cols[:4])
+        tables: dict[tuple[int, int], Table] = {}
+
+        def table(s: int, cells: int) -> Table:
+            if (s, cells) not in tables:
+                rows = slice(*np.searchsorted(snapshot, (s, s + 1)))  # kept is in the order of snapshots
+                tables[s, cells] = build(cells, h1[rows], h2[rows], v[rows])
+            return tables[s, cells]
+
+        parts = []
+        for before, pair in zip(order, order[1:], strict=False):
+            cells = first_cells
+            for _ in range(ROUNDS):
+                count, *xors = subtract(table(pair, cells), table(before, cells))
+                at = np.append(np.arange(cells), -1)
+                ok, guess, (side, a, b, _v) = peel(cells, at, count, *xors)
+                if ok:
+                    break
+                cells = max(2 * cells, int(1.6 * guess) + 64) // HASHES * HASHES
+            else:
+                raise RuntimeError("a bucket couldn't be recovered")
+            parts.append(pd.DataFrame({"pair": pair, "before": before, "h1": a, "h2": b, "added": side > 0, "removed": side < 0}))
+            for key in [k for k in tables if k[0] != pair]:
+                del tables[key]
+        out = pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+        return out.groupby(["pair", "before", "h1", "h2"], as_index=False)[["added", "removed"]].any().astype({"pair": "int32", "before": "int32", "h1": "int64", "h2": "int64", "added": bool, "removed": bool})
+
+    return run
+
+
+def differing(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, first_cells: int = FIRST_CELLS) -> DataFrame:
     """pair (the later snapshot), before (the earlier), h1, h2, added, removed of every key that differs.
 
-    state: snapshot (int), h1, h2, v, one row for each key and snapshot, as a table that is cheap to read again.
+    rows: snapshot, h1, h2, v, at; of several rows of a key and snapshot that of the greatest at, then v, holds.
     """
-    sizes = state.groupBy("snapshot").count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    buckets = max(1, -(-largest // bucket_rows))
-    order = sizes.select("snapshot", F.lag("snapshot").over(W.orderBy("snapshot")).alias("before"))
-    plus = order.where("before is not null").select("snapshot", F.col("snapshot").alias("pair"), F.lit(1).alias("sign"))
-    minus = order.where("before is not null").select(F.col("before").alias("snapshot"), F.col("snapshot").alias("pair"), F.lit(-1).alias("sign"))
-    sides = plus.unionByName(minus)
-    entries = state.select("snapshot", "h1", "h2", "v", F.pmod("h1", F.lit(buckets).cast("long")).alias("bucket")).join(bounded_broadcast(sides), "snapshot").drop("snapshot")
-    entries = entries.withColumn("sign", F.col("sign").cast("long"))
-    todo = entries.withColumn("cells", F.lit(first_cells))
-    found: list[DataFrame] = []
-    for n in range(ROUNDS):
-        peeled = build_cells(todo).groupBy("pair", "bucket", "cells").applyInPandas(_peel_group, _PEELED)
-        peeled = materialize(peeled, f"peeled-{n}")
-        found.append(peeled.where("need = 0").select("pair", "side", "h1", "h2"))
-        failed = peeled.where("need > 0").select("pair", "bucket", F.col("need").alias("cells"))
-        if failed.isEmpty():
-            break
-        todo = entries.join(bounded_broadcast(failed), ["pair", "bucket"])
-    else:
-        raise RuntimeError("a bucket couldn't be recovered")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    out = pairs.groupBy("pair", "h1", "h2").agg(F.max(F.col("side") > 0).alias("added"), F.max(F.col("side") < 0).alias("removed"))
-    return out.join(bounded_broadcast(order.withColumnRenamed("snapshot", "pair")), "pair")
+    sizes = {r["snapshot"]: r["count"] for r in rows.groupBy("snapshot").count().collect()}  # one row for each snapshot
+    buckets = max(1, -(-max(sizes.values(), default=0) // bucket_rows))
+    entries = rows.select(*_ENTRY).mapInPandas(_put_together(buckets), _ENTRIES)
+    return entries.groupBy("bucket").applyInPandas(_compare(sorted(sizes), first_cells), _FOUND)
 
 
 def changes(rows: DataFrame, snapshot: str, keys: dict[str, Column], values: Sequence[Column], version: str, **sizes: int) -> DataFrame:
     """snapshot (the later), the key columns and change (added, removed, changed) for each pair of consecutive snapshots."""
-    state = materialize(hashed_state(rows, snapshot, keys, values, version), "state")
-    found = differing(state.select("snapshot", "h1", "h2", "v"), **sizes)
+    found = materialize(differing(hashed_rows(rows, snapshot, keys, values, version), **sizes), "differences")
     kind = F.when(F.col("added") & F.col("removed"), "changed").when(F.col("added"), "added").otherwise("removed")
-    found = found.select("pair", "h1", "h2", kind.alias("change"), F.when(F.col("added"), F.col("pair")).otherwise(F.col("before")).alias("snapshot"))
-    named = state.drop("v").join(found, ["snapshot", "h1", "h2"])
-    return named.select(F.col("pair").alias("snapshot"), *keys, "change")
+    found = found.select("pair", "h1", "h2", kind.alias("_change"), F.when(F.col("added"), F.col("pair")).otherwise(F.col("before")).alias("snapshot"))
+    cols = list(keys.values())
+    names = rows.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).cast("int").alias("snapshot"), hash_of("a", *cols).alias("h1"), hash_of("b", *cols).alias("h2"), *[c.alias(k) for k, c in keys.items()])
+    named = names.join(bounded_broadcast(found, FOUND_ROWS), ["snapshot", "h1", "h2"])
+    return named.select(F.col("pair").alias("snapshot"), *keys, F.col("_change").alias("change")).distinct()

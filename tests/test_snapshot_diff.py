@@ -87,6 +87,29 @@ def test_failed_tables_are_told_by_the_digest():
             assert guess > 64
 
 
+def test_tables_hold_what_is_put_in_and_cancel_out():
+    rng = np.random.default_rng(2)
+    h = [rng.integers(-(2**62), 2**62, 500) for _ in range(3)]
+    a, b = S.build(64, *h), S.build(64, *(x[:490] for x in h))
+    assert a[0][:64].sum() == 4 * 500 and a[0][64] == 500
+    gone = S.subtract(a, b)
+    assert gone[0][64] == 10 and all((x == y).all() for x, y in zip(gone, S.build(64, *(x[490:] for x in h))))
+    ok, _, out = S.peel(64, np.append(np.arange(64), -1), *gone)
+    assert ok and sorted(out[1].tolist()) == sorted(h[0][490:].tolist())
+
+
+def test_a_failed_bucket_is_built_again(spark, monkeypatch):
+    sizes, build = [], S.build
+    monkeypatch.setattr(S, "build", lambda cells, *h: sizes.append(cells) or build(cells, *h))
+    rng = np.random.default_rng(4)
+    a, b, v = (rng.integers(-(2**62), 2**62, 900) for _ in range(3))
+    import pandas as pd
+
+    rows = pd.DataFrame({"snapshot": [1] * 450 + [2] * 450, "h1": a, "h2": b, "v": v, "at": 1})
+    out = S._compare([1, 2], 64)((0,), rows)
+    assert len(out) == 900 and out["added"].sum() == 450 and max(sizes) > 64
+
+
 def test_canonical_json(spark):
     texts = ['{"b": 1, "a": {"y": [1, 2], "x": null}, "checked_at": "t"}', '{"a":{"x":null,"y":[1,2]},"b":1}', '"æ\\u00f8"', '"æø"', "5", "not json", None, '{"checked_at": {"a": 1}, "k": "}\\"checked_at\\":1"}', "[]"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
