@@ -66,6 +66,8 @@ def hashed_rows(rows: DataFrame, snapshot: str, keys: dict[str, Column], values:
     at = F.col(version)
     if isinstance(kind, T.TimestampType):
         at = F.unix_micros(at)
+    elif isinstance(kind, T.TimestampNTZType):
+        at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
     elif isinstance(kind, T.DateType):
         at = F.unix_date(at)
     elif not isinstance(kind, T.IntegralType):
