@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -138,13 +140,20 @@ def fingerprint(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def shipped(rows: DataFrame, path: str) -> str:
+    """The name under which every executor gets the driver's vocabulary file."""
+    rows.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """doc_id and ids of every row."""
     kind = documents.schema[doc_id].dataType
     out = T.StructType([T.StructField(doc_id, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    name = shipped(documents, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
+        e = encoder(SparkFiles.get(name))
         for b in batches:
             yield pd.DataFrame({doc_id: b[doc_id], "ids": [e.encode(t) for t in b[text]]})
 
@@ -156,9 +165,10 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     rest = [f for f in documents.schema.fields if f.name not in (text, "tokens")]
     out = T.StructType([*rest, T.StructField("tokens", T.LongType())])
     names = [f.name for f in rest]
+    name = shipped(documents, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
+        e = encoder(SparkFiles.get(name))
         for b in batches:
             yield b[names].assign(tokens=[len(e.encode(t)) for t in b[text]])
 

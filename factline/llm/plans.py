@@ -55,6 +55,11 @@ def p8_margins(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).margins()
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the fit converged, by how much it misses its margins, and which sources' caps bind."""
+    return _mixture(spark, d).report()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same while their strings differ."""
     return visual.same_looking(table(spark, d, "documents"))
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_mixture": p8_mixture,
         "p8_shares": p8_shares,
         "p8_margins": p8_margins,
+        "p8_report": p8_report,
         "p9_found": p9_found,
         "p9_forms": p9_forms,
         "p9_classes": p9_classes,

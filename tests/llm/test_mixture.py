@@ -43,8 +43,33 @@ def test_mixture_keeps_caps_and_shares(spark):
 
 
 def test_sized_takes_topics_from_the_register(spark):
-    docs = spark.createDataFrame([(1, "a b c", "nb", "s", "9", 0), (2, None, "xx", None, None, 0), (3, "", None, "s", "8", 0)], "doc_id long, text string, lang string, source string, organisation_number string, tokens int")
+    docs = spark.createDataFrame([(1, "a b c", "nb", "s", "9", 0), (2, None, "x?", None, None, 0), (3, "", None, "s", "8", 0)], "doc_id long, text string, lang string, source string, organisation_number string, tokens int")
     body = "struct<organisasjonsnummer:string,naeringskode1:struct<kode:string>>"
     ents = spark.createDataFrame([(200, "2025-01-01", ("9", ("41.200",))), (200, "2024-01-01", ("9", ("10.1",))), (500, "2026-01-01", None), (200, "2024-01-01", ("8", None))], f"status int, snapshot_date string, body {body}")
     got = {r.doc_id: r for r in M.sized(docs, ents).collect()}
     assert (got[1].topic, got[1].tokens, got[2].lang, got[2].tokens, got[3].topic, got[3].lang) == ("41", 3, "other", 0, "00", "other")
+
+
+def test_any_number_of_languages_has_margins(spark):
+    docs = spark.createDataFrame([(i, "x y", f"{'abcdefghijkl'[i % 12]}x", "s", None) for i in range(24)] + [(99, "x", "??", "s", None)], "doc_id long, text string, lang string, source string, organisation_number string")
+    ents = spark.createDataFrame([], "status int, snapshot_date string, body struct<organisasjonsnummer:string,naeringskode1:struct<kode:string>>")
+    assert M.sized(docs, ents).select("lang").distinct().count() == 13
+
+
+def test_total_is_a_parameter_and_the_caps_that_bind_are_told():
+    rows = cells([("small", "nb", "00", 2, 100), ("large", "nb", "00", 90, 9000)])
+    out = M.rake(rows, {"small": 0.5, "large": 0.5}, {"small": 4, "large": 1}, total=2000)
+    assert out.attrs["binding"] == ["small"] and np.isclose(out.attrs["total"], 1400) and out.attrs["converged"]
+    assert M.rake(rows, {"small": 0.5, "large": 0.5}, {"small": 4, "large": 1}).attrs["binding"] == ["small"]
+    assert M.rake(rows, {"small": 0.5, "large": 0.5}, {"small": 4, "large": 1}, total=100).attrs["binding"] == []
+
+
+def test_draw_keeps_the_margins_of_the_fit(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[i % 2], ["nb", "en", "nn"][int(rng.integers(0, 3))], f"{int(rng.integers(0, 20)):02d}", int(rng.integers(1, 900))) for i in range(6000)]
+    weights = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 2)], "source string, target_share double, max_repeat int")
+    m = M.mix(spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long"), weights, total=900_000)
+    got = m.margins().toPandas()
+    for _, g in got.groupby("margin"):
+        assert (g["fitted_tokens"] / g["fitted_tokens"].sum() - g["mixture_tokens"] / g["mixture_tokens"].sum()).abs().sum() / 2 < 0.02
+    assert m.report().first().converged
