@@ -91,7 +91,7 @@ WITH s AS (
   SELECT {SQL_HOST.format("employer_homepage")} AS domain, 'job_feed' AS kind FROM active_ads WHERE employer_homepage IS NOT NULL
   UNION SELECT {SQL_HOST.format("website")}, 'map' FROM osm WHERE website IS NOT NULL
   UNION SELECT {SQL_HOST.format("website")}, 'number' FROM osm WHERE website IS NOT NULL AND length(regexp_replace(orgnr, '\\D', '', 'g')) = 9
-  UNION SELECT {SQL_HOST.format("json_extract_string(websites, '$[0]')")}, 'place' FROM place WHERE json_extract_string(websites, '$[0]') IS NOT NULL
+  UNION SELECT {SQL_HOST.format("w")}, 'place' FROM (SELECT unnest(from_json(websites, '["VARCHAR"]')) AS w FROM place) WHERE w IS NOT NULL
 ), g AS (SELECT domain, list(DISTINCT kind) AS kinds, count(DISTINCT kind) AS different FROM s GROUP BY 1)
 SELECT domain, different, CASE WHEN list_contains(kinds, 'number') THEN 'exact' WHEN different >= 3 THEN 'exact' WHEN different = 2 THEN 'related' WHEN list_contains(kinds, 'map') THEN 'ambiguous' ELSE 'rejected' END AS verdict FROM g
 """
@@ -101,10 +101,9 @@ SELECT domain, different, CASE WHEN list_contains(kinds, 'number') THEN 'exact'
 def verdict_ladder(t) -> DataFrame:
     """A verdict for each domain: the first rule that holds over the signals gathered for it."""
     h = X.host
-    site = F.get_json_object("websites", "$[0]")
     part = lambda rows, c, kind: rows.where(c.isNotNull()).select(h(c).alias("domain"), F.lit(kind).alias("kind"))
     o = t("osm")
-    s = part(t("active_ads"), F.col("employer_homepage"), "job_feed").unionByName(part(o, F.col("website"), "map")).unionByName(part(o.where(F.length(X.digits(F.col("orgnr"))) == 9), F.col("website"), "number")).unionByName(part(t("place"), site, "place"))
+    s = part(t("active_ads"), F.col("employer_homepage"), "job_feed").unionByName(part(o, F.col("website"), "map")).unionByName(part(o.where(F.length(X.digits(F.col("orgnr"))) == 9), F.col("website"), "number")).unionByName(part(t("place").select(F.explode(F.from_json("websites", "array<string>")).alias("w")), F.col("w"), "place"))
     rules = [("exact", ladders.has("number")), ("exact", F.col("different") >= 3), ("related", F.col("different") == 2), ("ambiguous", ladders.has("map"))]
     return ladders.gathered(s, ["domain"]).select("domain", "different", ladders.ladder(rules, "rejected").alias("verdict"))
 

@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
+#: The latest snapshot of the claims, in SQL.
+SQL_NEWEST = "(SELECT max(snapshot_no) FROM claims)"
+
+
+def newest(claims: DataFrame) -> DataFrame:
+    """The claims of the latest snapshot."""
+    return claims.where(F.col("snapshot_no") == claims.agg(F.max("snapshot_no")).scalar())
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -10,7 +10,7 @@ from ..functions import dates, keys, maths
 from ..functions import text as X
 from ..operators import choosing, directory, quality, refresh, stats
 from ..operators.snapshot_diff import canonical_json
-from .catalog import Catalog
+from .catalog import Catalog, newest
 from .matching_queries import REGISTER, SQL_SITE, register
 
 catalog = Catalog()
@@ -22,55 +22,27 @@ SQL_CANON = (
     " FROM unnest(list_filter(json_keys({0}), lambda x: x NOT IN ('checked_at', 'retrieved_at', 'fetched_at', 'observed_at', 'last_checked'))) AS u(m)), '') || '}}' ELSE CAST(CAST({0} AS JSON) AS VARCHAR) END"
 )
 #: One row for each claim of a snapshot, as the comparison takes it.
-SQL_RUN = f"""
+#: Claims before (pr) and after (cr) of every pair of consecutive snapshots; s is the later one.
+SQL_RUNS = f"""
+n AS (SELECT s, lag(s) OVER (ORDER BY s) AS before FROM (SELECT DISTINCT snapshot_no AS s FROM claims WHERE snapshot_no IS NOT NULL)),
 k AS (
   SELECT snapshot_no AS s, organisation_number AS org, family, field, coalesce(value_key, '') AS value_key,
     arg_max({{'v': {SQL_CANON.format("value")}, 'a': reporting_period.start, 'b': reporting_period.end, 't': status}}, (last_observed_at, value)) AS r
   FROM claims WHERE status IS NOT NULL AND value IS NOT NULL GROUP BY ALL
-), st AS (SELECT DISTINCT organisation_number AS org, family, TRUE AS checked FROM claims WHERE snapshot_no = 2 AND availability IN ('available', 'not_available', 'not_applicable')),
-p AS (SELECT org, family, field, value_key, r FROM k WHERE s = 1 AND r.t = 'current'), c AS (SELECT org, family, field, value_key, r FROM k WHERE s = 2 AND r.t = 'current'),
+), st AS (SELECT DISTINCT snapshot_no AS s, organisation_number AS org, family, TRUE AS checked FROM claims WHERE availability IN ('available', 'not_available', 'not_applicable')),
+p AS (SELECT n.s, org, family, field, value_key, r FROM k JOIN n ON k.s = n.before WHERE r.t = 'current'), c AS (SELECT n.s, org, family, field, value_key, r FROM k JOIN n USING (s) WHERE n.before IS NOT NULL AND r.t = 'current'),
 m AS (
-  SELECT org, family, field, value_key, p.r AS pr, c.r AS cr, coalesce(st.checked, FALSE) AS checked,
+  SELECT s, org, family, field, value_key, p.r AS pr, c.r AS cr, coalesce(st.checked, FALSE) AS checked,
     CASE WHEN field = 'official_website'
       THEN {SQL_SITE.format("coalesce(json_extract_string(p.r.v, '$.url'), json_extract_string(p.r.v, '$'))")} IS NOT DISTINCT FROM {SQL_SITE.format("coalesce(json_extract_string(c.r.v, '$.url'), json_extract_string(c.r.v, '$'))")}
       ELSE (p.r.v IS NOT DISTINCT FROM c.r.v AND p.r.a IS NOT DISTINCT FROM c.r.a AND p.r.b IS NOT DISTINCT FROM c.r.b)
         OR (family = 'description' AND trim(regexp_replace(regexp_replace(lower(trim(json_extract_string(p.r.v, '$'))), '[^\\pL\\pN_\\s]', '', 'g'), '\\s+', ' ', 'g'))
           IS NOT DISTINCT FROM trim(regexp_replace(regexp_replace(lower(trim(json_extract_string(c.r.v, '$'))), '[^\\pL\\pN_\\s]', '', 'g'), '\\s+', ' ', 'g'))) END AS same
-  FROM p FULL OUTER JOIN c USING (org, family, field, value_key) LEFT JOIN st USING (org, family)
+  FROM p FULL OUTER JOIN c USING (s, org, family, field, value_key) LEFT JOIN st USING (s, org, family)
 )
 """
 
 
-def run(t, snapshot: int) -> DataFrame:
-    """A snapshot's claims in the form of operators.refresh."""
-    rows = t("claims").where((F.col("snapshot_no") == snapshot) & F.col("status").isNotNull() & F.col("value").isNotNull())
-    rows = rows.select(
-        F.col("organisation_number").alias("org"), "family", "field", F.coalesce("value_key", F.lit("")).alias("value_key"), canonical_json(F.col("value"), VOLATILE).alias("canon"),
-        F.col("reporting_period.start").alias("period_start"), F.col("reporting_period.end").alias("period_end"), "status", "last_observed_at", F.col("value").alias("raw"),
-    )
-    best = choosing.last_wins(rows, ["org", "family", "field", "value_key"], F.col("last_observed_at"), F.col("raw"))
-    return best.withColumnRenamed("canon", "value")
-
-
-def states(t, snapshot: int) -> DataFrame:
-    """Families of which some claim of the snapshot was checked."""
-    rows = t("claims").where(F.col("snapshot_no") == snapshot).where(refresh.checked(F.col("availability"), F.lit(None).cast("string")))
-    return rows.select(F.col("organisation_number").alias("org"), "family").distinct().withColumn("checked", F.lit(True))
-
-
-#: The same for every pair of consecutive snapshots; s is the later one.
-SQL_RUNS = f"""
-n AS (SELECT s, lag(s) OVER (ORDER BY s) AS before FROM (SELECT DISTINCT snapshot_no AS s FROM claims WHERE snapshot_no IS NOT NULL)),
-k AS (
-  SELECT snapshot_no AS s, organisation_number AS org, family, field, coalesce(value_key, '') AS value_key,
-    arg_max({{'v': {SQL_CANON.format("value")}, 'a': reporting_period.start, 'b': reporting_period.end, 't': status}}, (last_observed_at, value)) AS r
-  FROM claims WHERE status IS NOT NULL AND value IS NOT NULL GROUP BY ALL
-), st AS (SELECT DISTINCT snapshot_no AS s, organisation_number AS org, family, TRUE AS checked FROM claims WHERE availability IN ('available', 'not_available', 'not_applicable')),
-p AS (SELECT n.s, org, family, field, value_key, r FROM k JOIN n ON k.s = n.before WHERE r.t = 'current'), c AS (SELECT n.s, org, family, field, value_key, r FROM k JOIN n USING (s) WHERE n.before IS NOT NULL AND r.t = 'current'),
-{SQL_RUN[SQL_RUN.index("m AS ("):].replace("SELECT org, family", "SELECT s, org, family", 1).replace("USING (org", "USING (s, org")}
-"""
-
-
 def runs(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Claims before and after and the families checked of every pair of consecutive snapshots, by the later snapshot_no."""
     rows = t("claims").where("snapshot_no is not null")
@@ -87,36 +59,6 @@ def runs(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     return before, after, seen.select("snapshot_no", F.col("organisation_number").alias("org"), "family").distinct().withColumn("checked", F.lit(True))
 
 
-@query(f"""
-WITH {SQL_RUN}, x AS (
-  SELECT org, family, field, value_key, pr.v AS prev_value, cr.v AS curr_value,
-    CASE WHEN pr IS NOT NULL AND cr IS NOT NULL THEN CASE WHEN same THEN NULL WHEN family IN ('financials', 'financial_history') AND NOT coalesce(cr.b > coalesce(pr.b, ''), FALSE) THEN 'changed_value'
-        WHEN family = 'website' THEN 'changed_website' WHEN family = 'description' THEN 'changed_description' WHEN family = 'identity' THEN 'identity_changed' WHEN family IN ('financials', 'financial_history') THEN 'new_filing' ELSE 'changed_value' END
-      WHEN cr IS NOT NULL THEN CASE WHEN value_key <> '' THEN CASE family WHEN 'leadership' THEN 'new_role' WHEN 'jobs' THEN 'new_job' WHEN 'locations' THEN 'new_location' WHEN 'profiles' THEN 'new_profile' WHEN 'activity' THEN 'new_activity' END
-        WHEN family = 'website' THEN 'changed_website' WHEN family = 'description' THEN 'changed_description' WHEN family = 'identity' THEN 'identity_changed' WHEN family IN ('financials', 'financial_history') THEN 'new_filing' ELSE 'changed_value' END
-      WHEN family = 'activity' OR NOT checked THEN NULL
-      WHEN value_key <> '' THEN CASE family WHEN 'leadership' THEN 'ended_role' WHEN 'jobs' THEN 'closed_job' WHEN 'locations' THEN 'closed_location' WHEN 'profiles' THEN 'removed_profile' END
-      WHEN family = 'website' THEN 'changed_website' WHEN family = 'description' THEN 'changed_description' WHEN family = 'identity' THEN 'identity_changed' WHEN family IN ('financials', 'financial_history') THEN 'new_filing' ELSE 'changed_value' END AS change_type
-  FROM m
-)
-SELECT org, family, field, value_key, change_type FROM x WHERE change_type IS NOT NULL
-""")
-def refresh_diff(t) -> DataFrame:
-    """Typed changes between the first two runs."""
-    return refresh.changes(run(t, 1), run(t, 2), states(t, 2)).select("org", "family", "field", "value_key", "change_type")
-
-
-@query(f"""
-WITH {SQL_RUN}
-SELECT family, CASE WHEN pr IS NOT NULL AND cr IS NOT NULL THEN CASE WHEN same THEN 'kept' ELSE 'superseded' END WHEN cr IS NOT NULL THEN 'new'
-  WHEN NOT checked THEN 'carried' WHEN family = 'activity' THEN 'withdrawn' ELSE 'ended' END AS origin, count(*) AS claims
-FROM m GROUP BY 1, 2
-""")
-def refresh_carry_forward(t) -> DataFrame:
-    """Where the claims of the state after a run come from, by family."""
-    return refresh.merged(run(t, 1), run(t, 2), states(t, 2)).groupBy("family", "origin").agg(F.count("*").alias("claims"))
-
-
 @query(f"""
 WITH {SQL_RUNS}, x AS (
   SELECT s, org, family, field, value_key, pr.v AS prev_value, cr.v AS curr_value,
@@ -131,7 +73,7 @@ WITH {SQL_RUNS}, x AS (
 )
 SELECT s AS snapshot_no, org, family, field, value_key, change_type FROM x WHERE change_type IS NOT NULL
 """)
-def refresh_diff_all(t) -> DataFrame:
+def refresh_diff(t) -> DataFrame:
     """Typed changes between every two consecutive runs."""
     return refresh.changes(*runs(t), by=["snapshot_no"]).select("snapshot_no", "org", "family", "field", "value_key", "change_type")
 
@@ -142,7 +84,7 @@ SELECT s AS snapshot_no, family, CASE WHEN pr IS NOT NULL AND cr IS NOT NULL THE
   WHEN NOT checked THEN 'carried' WHEN family = 'activity' THEN 'withdrawn' ELSE 'ended' END AS origin, count(*) AS claims
 FROM m GROUP BY 1, 2, 3
 """)
-def refresh_carry_forward_all(t) -> DataFrame:
+def refresh_carry_forward(t) -> DataFrame:
     """Where the claims of the state after each run come from, by family."""
     return refresh.merged(*runs(t), by=["snapshot_no"]).groupBy("snapshot_no", "family", "origin").agg(F.count("*").alias("claims"))
 
@@ -327,7 +269,7 @@ def abstention_rate(t) -> DataFrame:
 
 @query(f"""
 WITH {REGISTER}, g AS (SELECT org, {SQL_SITE.format("b.hjemmeside")} AS gold FROM reg),
-p AS (SELECT organisation_number AS org, max({SQL_SITE.format("json_extract_string(value, '$.url')")}) AS ours FROM claims WHERE field = 'official_website' AND snapshot_no = 5 AND value IS NOT NULL GROUP BY 1)
+p AS (SELECT organisation_number AS org, max({SQL_SITE.format("json_extract_string(value, '$.url')")}) AS ours FROM claims WHERE field = 'official_website' AND snapshot_no = (SELECT max(snapshot_no) FROM claims) AND value IS NOT NULL GROUP BY 1)
 SELECT CAST(count_if(coalesce(ours, '') <> '') AS BIGINT) AS published, CAST(count_if(gold <> '') AS BIGINT) AS truth, CAST(count_if(ours = gold AND gold <> '') AS BIGINT) AS correct,
   round_even(count_if(ours = gold AND gold <> '') / nullif(count_if(coalesce(ours, '') <> ''), 0), 4) AS precision, round_even(count_if(ours = gold AND gold <> '') / nullif(count_if(gold <> ''), 0), 4) AS recall
 FROM g LEFT JOIN p USING (org)
@@ -335,7 +277,7 @@ FROM g LEFT JOIN p USING (org)
 def precision_recall(t) -> DataFrame:
     """Published sites against the register's, as counts, precision and recall."""
     gold = register(t).select("org", X.site_key(F.col("body.hjemmeside")).alias("gold"))
-    ours = t("claims").where("field = 'official_website' and snapshot_no = 5 and value is not null").groupBy(F.col("organisation_number").alias("org")).agg(F.max(X.site_key(F.get_json_object("value", "$.url"))).alias("ours"))
+    ours = newest(t("claims")).where("field = 'official_website' and value is not null").groupBy(F.col("organisation_number").alias("org")).agg(F.max(X.site_key(F.get_json_object("value", "$.url"))).alias("ours"))
     rows = gold.join(ours, "org", "left").withColumn("ours", F.coalesce("ours", F.lit("")))
     return quality.precision_recall(rows, [], F.col("ours") != "", F.col("gold") != "", F.col("ours") == F.col("gold"))
 
@@ -405,13 +347,15 @@ def batch_checks(t) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT family, count_if(availability = 'available' AND snapshot_no = 4) / nullif(count_if(snapshot_no = 4), 0) AS baseline, count_if(availability = 'available' AND snapshot_no = 5) / nullif(count_if(snapshot_no = 5), 0) AS challenger FROM claims GROUP BY 1)
+WITH s AS (SELECT family, count_if(availability = 'available' AND snapshot_no = (SELECT max(snapshot_no) FROM claims WHERE snapshot_no < (SELECT max(snapshot_no) FROM claims))) / nullif(count_if(snapshot_no = (SELECT max(snapshot_no) FROM claims WHERE snapshot_no < (SELECT max(snapshot_no) FROM claims))), 0) AS baseline, count_if(availability = 'available' AND snapshot_no = (SELECT max(snapshot_no) FROM claims)) / nullif(count_if(snapshot_no = (SELECT max(snapshot_no) FROM claims)), 0) AS challenger FROM claims GROUP BY 1)
 SELECT family, round(baseline, 6) AS baseline, round(challenger, 6) AS challenger, CASE WHEN challenger < baseline THEN 'REJECT' WHEN challenger > baseline + 0.01 THEN 'PROMOTE' ELSE 'HOLD' END AS decision FROM s
 """)
 def promotion_decision(t) -> DataFrame:
     """Whether a run promotes, holds or rejects what the run before had, by family."""
     part = lambda n: F.count_if((F.col("availability") == "available") & (F.col("snapshot_no") == n)) / F.nullif(F.count_if(F.col("snapshot_no") == n), F.lit(0).cast("long"))
-    s = t("claims").groupBy("family").agg(part(4).alias("baseline"), part(5).alias("challenger"))
+    last = t("claims").agg(F.max("snapshot_no")).scalar()
+    before = t("claims").where(F.col("snapshot_no") < last).agg(F.max("snapshot_no")).scalar()
+    s = t("claims").groupBy("family").agg(part(before).alias("baseline"), part(last).alias("challenger"))
     return s.withColumn("decision", quality.decide("baseline", "challenger", 0.01)).select("family", F.round("baseline", 6).alias("baseline"), F.round("challenger", 6).alias("challenger"), "decision")
 
 
@@ -419,7 +363,7 @@ DIRECTORY_SQL = f"""
 WITH {REGISTER}, c AS (
   SELECT organisation_number AS org, CAST(count_if(family = 'profiles') AS BIGINT) AS profiles, CAST(count_if(family = 'jobs') AS BIGINT) AS jobs, CAST(count_if(family = 'activity') AS BIGINT) AS activity,
     count(DISTINCT CASE WHEN availability = 'available' THEN family END) AS coverage, max(CASE WHEN field = 'revenue' THEN CAST(json_extract_string(value, '$.amount') AS DOUBLE) END) AS revenue
-  FROM claims WHERE snapshot_no = 5 GROUP BY 1
+  FROM claims WHERE snapshot_no = (SELECT max(snapshot_no) FROM claims) GROUP BY 1
 ), dir AS (
   SELECT reg.org, b.navn AS name, b.organisasjonsform.kode AS legal_form, b.postadresse.kommune AS municipality, b.naeringskode1.beskrivelse AS industry, b.antallAnsatte AS employees, b.hjemmeside AS website,
     coalesce(profiles, 0) AS profiles, coalesce(jobs, 0) AS jobs, coalesce(activity, 0) AS activity, coalesce(coverage, 0) AS coverage, revenue,
@@ -432,7 +376,7 @@ WITH {REGISTER}, c AS (
 def directory_table(t) -> DataFrame:
     """One wide row for each organisation: the register's facts and counts of claims."""
     fam = lambda f: F.count_if(F.col("family") == f)
-    c = t("claims").where("snapshot_no = 5").groupBy(F.col("organisation_number").alias("org")).agg(
+    c = newest(t("claims")).groupBy(F.col("organisation_number").alias("org")).agg(
         fam("profiles").alias("profiles"), fam("jobs").alias("jobs"), fam("activity").alias("activity"), F.countDistinct(F.when(F.col("availability") == "available", F.col("family"))).alias("coverage"),
         F.max(F.when(F.col("field") == "revenue", F.get_json_object("value", "$.amount").try_cast("double"))).alias("revenue"),
     )
@@ -489,17 +433,10 @@ def compare_pivot(t) -> DataFrame:
     return directory.compare(t("customer").withColumn("k", F.col("c_custkey").cast("string")), "k", ["1", "2", "3"], ["c_name", "c_mktsegment", "c_nationkey"])
 
 
-@query(DIRECTORY_SQL + """SELECT org, name || ' is a ' || coalesce(CASE WHEN employees >= 250 THEN 'large' WHEN employees >= 50 THEN 'medium-sized' WHEN employees >= 10 THEN 'small' WHEN employees >= 1 THEN 'micro' END || ' ', '') || 'company'
-  || coalesce(' based in ' || municipality, '') || CASE WHEN jobs > 0 THEN ', hiring (' || jobs || CASE WHEN jobs = 1 THEN ' open ad)' ELSE ' open ads)' END ELSE '' END || '.' AS sentence FROM dir WHERE name IS NOT NULL AND (employees IS NOT NULL OR revenue IS NULL)""")
-def summary_sentences(t) -> DataFrame:
-    """One sentence for each organisation from its facts, but for those with revenue and no staff number."""
-    return sentences(directory_table(t).where("name is not null and (employees is not null or revenue is null)"))
-
-
 @query(DIRECTORY_SQL + """SELECT org, name || ' is a ' || coalesce(CASE WHEN employees IS NULL THEN CASE WHEN revenue >= 500000000 THEN 'large' WHEN revenue >= 100000000 THEN 'medium-sized' WHEN revenue >= 20000000 THEN 'small' END
     WHEN employees >= 250 THEN 'large' WHEN employees >= 50 THEN 'medium-sized' WHEN employees >= 10 THEN 'small' WHEN employees >= 1 THEN 'micro' END || ' ', '') || 'company'
   || coalesce(' based in ' || municipality, '') || CASE WHEN jobs > 0 THEN ', hiring (' || jobs || CASE WHEN jobs = 1 THEN ' open ad)' ELSE ' open ads)' END ELSE '' END || '.' AS sentence FROM dir WHERE name IS NOT NULL""")
-def summary_sentences_all(t) -> DataFrame:
+def summary_sentences(t) -> DataFrame:
     """One sentence for each organisation that has a name, sized by revenue where staff is unknown."""
     return sentences(directory_table(t).where("name is not null"))
 

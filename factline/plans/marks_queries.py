@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import marks, maths
 from ..functions import text as X
 from ..operators import choosing
-from .catalog import Catalog
+from .catalog import Catalog, newest
 from .claims_queries import SQL_ACCOUNTS, accounts
 
 catalog = Catalog()
@@ -68,13 +68,13 @@ def usable_descriptions(t) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT organisation_number AS org, json_extract_string(value, '$.platform') AS platform, json_extract_string(value, '$.url') AS url FROM claims WHERE family = 'profiles' AND value IS NOT NULL AND snapshot_no = 5),
+WITH p AS (SELECT organisation_number AS org, json_extract_string(value, '$.platform') AS platform, json_extract_string(value, '$.url') AS url FROM claims WHERE family = 'profiles' AND value IS NOT NULL AND snapshot_no = (SELECT max(snapshot_no) FROM claims)),
 n AS (SELECT org, platform, count(DISTINCT url) AS accounts FROM p WHERE platform IS NOT NULL AND url IS NOT NULL GROUP BY 1, 2)
 SELECT org, platform, accounts FROM n WHERE accounts <= 2
 """)
 def profile_cap(t) -> DataFrame:
     """Platforms of each organisation with at most two accounts; more are another's list."""
-    p = t("claims").where("family = 'profiles' and value is not null and snapshot_no = 5").select(F.col("organisation_number").alias("org"), F.get_json_object("value", "$.platform").alias("platform"), F.get_json_object("value", "$.url").alias("url"))
+    p = newest(t("claims")).where("family = 'profiles' and value is not null").select(F.col("organisation_number").alias("org"), F.get_json_object("value", "$.platform").alias("platform"), F.get_json_object("value", "$.url").alias("url"))
     return p.where("platform is not null and url is not null").groupBy("org", "platform").agg(F.count_distinct("url").alias("accounts")).where("accounts <= 2")
 
 
@@ -84,14 +84,14 @@ SECTIONS = {"who": ("identity", "leadership", "group"), "money": ("financials",
 @query(
     "SELECT organisation_number AS org, CASE "
     + " ".join(f"WHEN family IN ({', '.join(repr(f) for f in fs)}) THEN '{s}'" for s, fs in SECTIONS.items())
-    + " END AS section, count(DISTINCT claim_id) AS claims, sha256(string_agg(DISTINCT claim_id, ',' ORDER BY claim_id)) AS ids FROM claims WHERE snapshot_no = 5 AND claim_id IS NOT NULL AND status = 'current' GROUP BY 1, 2"
+    + " END AS section, count(DISTINCT claim_id) AS claims, sha256(string_agg(DISTINCT claim_id, ',' ORDER BY claim_id)) AS ids FROM claims WHERE snapshot_no = (SELECT max(snapshot_no) FROM claims) AND claim_id IS NOT NULL AND status = 'current' GROUP BY 1, 2"
 )
 def claim_sections(t) -> DataFrame:
     """Claims of each section of an organisation's profile, with a digest of their sorted ids."""
     section = F.lit(None).cast("string")
     for s, fs in SECTIONS.items():
         section = F.when(F.col("family").isin(*fs), s).otherwise(section)
-    rows = t("claims").where("snapshot_no = 5 and claim_id is not null and status = 'current'").select(F.col("organisation_number").alias("org"), section.alias("section"), "claim_id").distinct()
+    rows = newest(t("claims")).where("claim_id is not null and status = 'current'").select(F.col("organisation_number").alias("org"), section.alias("section"), "claim_id").distinct()
     return rows.groupBy("org", "section").agg(F.count("*").alias("claims"), F.sha2(F.array_join(F.array_sort(F.collect_list("claim_id")), ","), 256).alias("ids"))
 
 

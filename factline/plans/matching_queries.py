@@ -74,15 +74,6 @@ def domain_share_counts(t) -> DataFrame:
     return out.withColumn("shared", (F.greatest("ad_count", "map_count") >= 3) | F.col("domain").isin(*X.FREEMAIL))
 
 
-@query("""
-SELECT n_name AS parent, count(*) AS children, string_agg(c_name, ',' ORDER BY c_name) AS names FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_acctbal > 9000 GROUP BY 1
-""")
-def children_by_parent(t) -> DataFrame:
-    """Children of each parent as one sorted text."""
-    joined = t("customer").where("c_acctbal > 9000").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy(F.col("n_name").alias("parent")).agg(F.count("*").alias("children"), F.array_join(F.array_sort(F.collect_list("c_name")), ",").alias("names"))
-
-
 @query("""
 SELECT n_name AS parent, c_name AS child, c_custkey AS child_key, count(*) OVER (PARTITION BY n_name) AS children FROM nation JOIN customer ON n_nationkey = c_nationkey
 """)
@@ -183,7 +174,7 @@ def token_overlap_join(t) -> DataFrame:
 
 @query(f"""
 WITH o AS (SELECT DISTINCT osm_id, {SQL_SITE.format("website")} AS site, {sql_words("name", X.LEGAL_CORE)} AS core, coalesce(json_extract_string(socials, '$.facebook'), '') AS fb FROM osm WHERE osm_id IS NOT NULL),
-p AS (SELECT DISTINCT id, {SQL_SITE.format("json_extract_string(websites, '$[0]')")} AS site, {sql_words("name", X.LEGAL_CORE)} AS core, coalesce(json_extract_string(socials, '$.facebook'), '') AS fb FROM place WHERE id IS NOT NULL),
+p AS (SELECT DISTINCT id, {SQL_SITE.format("unnest(coalesce(nullif(from_json(websites, '[\"VARCHAR\"]'), []), [NULL]))")} AS site, {sql_words("name", X.LEGAL_CORE)} AS core, coalesce(json_extract_string(socials, '$.facebook'), '') AS fb FROM place WHERE id IS NOT NULL),
 m AS (
   SELECT osm_id, id, 'site' AS how FROM o JOIN p USING (site) WHERE site <> '' UNION SELECT osm_id, id, 'core' FROM o JOIN p USING (core) WHERE core <> ''
   UNION SELECT osm_id, id, 'social' FROM o JOIN p USING (fb) WHERE fb <> ''
@@ -194,7 +185,7 @@ def multi_key_match(t) -> DataFrame:
     """Places of a map feature by site, name or social page: how they agree, the four best."""
     fb = F.coalesce(F.get_json_object("socials", "$.facebook"), F.lit(""))
     o = t("osm").where("osm_id is not null").select("osm_id", X.site_key(F.col("website")).alias("site"), X.name_core(F.col("name")).alias("core"), fb.alias("fb"))
-    p = t("place").where("id is not null").select("id", X.site_key(F.get_json_object("websites", "$[0]")).alias("site"), X.name_core(F.col("name")).alias("core"), fb.alias("fb"))
+    p = t("place").where("id is not null").select("id", F.explode_outer(F.from_json("websites", "array<string>")).alias("url"), X.name_core(F.col("name")).alias("core"), fb.alias("fb")).withColumn("site", X.site_key(F.col("url")))
     m = matching.several_keys(o, p, "osm_id", "id", {"site": ("site", "site"), "core": ("core", "core"), "social": ("fb", "fb")})
     best = choosing.top(m, ["osm_id"], [F.desc("matches"), F.col("id")], 4)
     return best.select("osm_id", "id", F.array_join("how", "+").alias("how"), "matches")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import builder_queries, claims_queries, marks_queries, matching_queries, problems, problems_sql, text_queries
+from . import builder_queries, claims_queries, marks_queries, matching_queries, problems, problems_sql, text_queries, wide_queries
 
-CATALOGS = (matching_queries.catalog, claims_queries.catalog, text_queries.catalog, builder_queries.catalog, marks_queries.catalog)
+CATALOGS = (matching_queries.catalog, claims_queries.catalog, text_queries.catalog, builder_queries.catalog, marks_queries.catalog, wide_queries.catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

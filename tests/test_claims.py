@@ -100,8 +100,8 @@ def test_every_run_is_compared_with_the_one_before(spark):
     row = lambda no, v: (no, "o", "website", "official_website", None, json.dumps(v), None, "current", "2026-01-01", "available")
     claims = spark.createDataFrame([row(1, "a.no"), row(2, "a.no"), row(4, "b.no"), row(5, "a.no")], schema)
     t = lambda name: claims
-    assert [r.snapshot_no for r in claims_queries.refresh_diff_all(t).orderBy("snapshot_no").collect()] == [4, 5]
-    assert {(r.snapshot_no, r.origin) for r in claims_queries.refresh_carry_forward_all(t).collect()} == {(2, "kept"), (4, "superseded"), (5, "superseded")}
+    assert [r.snapshot_no for r in claims_queries.refresh_diff(t).orderBy("snapshot_no").collect()] == [4, 5]
+    assert {(r.snapshot_no, r.origin) for r in claims_queries.refresh_carry_forward(t).collect()} == {(2, "kept"), (4, "superseded"), (5, "superseded")}
     assert [tuple(r) for r in claims_queries.change_summary(t).collect()] == [(4, "changed_website", 1, 1, 1), (5, "changed_website", 1, 1, 1)]
 
 
