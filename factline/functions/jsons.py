@@ -54,8 +54,8 @@ def json_flatten(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 _STEP = re.compile(r"\.([^.\[\]]+)|\[(\d+)\]|\[([\w.]+)=([^\]]*)\]")
 
 
-def piece(text: str, path: str, limit: int = 1500) -> str | None:
-    """The text of the value at a path ($.a.b[0].c, [key.path=value]) exactly as it is written, cut at the limit.
+def piece(text: str, path: str, limit: int | None = None) -> str | None:
+    """The text of the value at a path ($.a.b[0].c, [key.path=value]) exactly as it is written, whole unless a limit is given.
 
     null where the path leads nowhere or can't be read.
     """

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .pages import PARKED_MARKS, SERVER_MARKS, SOON_MARKS
 from .text import fold
 
 # Marks of hijacked, parked and dead pages, drafts, spam, boilerplate; applicant systems; industries.
@@ -18,18 +19,16 @@ HIJACKED = (
     "casino", "jackpot", "slot machine", "free spins", "no deposit bonus", "online betting", "sportsbook", "poker room", "bet now", "play now and win", "best online casino", "viagra", "cialis", "online pharmacy",
     "cheap pharmacy", "buy pills online", "adult content", "xxx video", "escort service", "webcam girls",
 )
-PARKED = (
-    "domain is for sale", "domain for sale", "hugedomains", "parked at", "miss hosting", "buy this domain", "this domain is parked", "does not have an active website here", "ingen side enda",
-    "har ikke lagt ut noen nettsider", "/cgi-sys/defaultwebpage.cgi",
-)
-SERVER_DEFAULT = ("welcome to nginx!", "apache2 ubuntu default page", "apache2 debian default page", "test page for the apache http server", "default web site page", "web server's default page")
-COMING_SOON = ("lanseres snart", "kommer snart", "under construction", "under oppbygging", "coming soon", "nettsiden er under arbeid", "siden er under utvikling", "site under construction")
+PARKED, SERVER_DEFAULT, COMING_SOON = PARKED_MARKS, SERVER_MARKS, SOON_MARKS
 DEAD = ("proudly served by", "index of /", "this one is taken", "ingenting ble funnet", "nothing was found", "nothing found", "page not found", "siden finnes ikke", "fant ikke siden", "finner ikke siden", "siden du leter etter", "the page you are looking for")
 BOILERPLATE = (
     "informasjonskapsler", "cookies", "personvernerklæring", "personvernerklaering", "aksepter alle", "denne nettsiden bruker", "this website uses", "kontakt oss her", "kontakte oss", "komme i kontakt med oss",
     "contact us here", "din bestilling", "handlekurv", "fri frakt", "gratis frakt", "your order", "free shipping",
 )
-SPAM_STRONG = ("birkin", "aliexpress", "louis vuitton", "viagra", "cialis", "payday loan", "payday loans", "essay writing", "replica bag", "replica bags", "replica watch", "replica watches", "cheap jerseys", "cheap handbags")
+SPAM_STRONG = (
+    "birkin", "aliexpress", "louis vuitton", "viagra", "cialis", "payday loan", "payday loans", "essay writing", "replica bag", "replica bags", "replica handbag", "replica handbags", "replica watch", "replica watches", "replica rolex",
+    "cheap jerseys", "cheap handbags",
+)
 SPAM_WEAK = ("replica", "replicas", "counterfeit", "knockoff", "knockoffs", "casino", "handbag", "handbags")
 PLACEHOLDER_TITLES = ("hello world", "hei verden", "hallo verden", "sample page", "eksempelside", "sample post", "eksempelinnlegg", "post format gallery", "untitled", "uten tittel", "draft", "kladd", "ny side", "new page", "test")
 APPLICANT_SYSTEMS = {
@@ -37,9 +36,10 @@ APPLICANT_SYSTEMS = {
     "hr-manager": "hr-manager.net", "recman": "recman.no", "easycruit": "easycruit.com", "jobbnorge": "jobbnorge.no", "workday": "myworkdayjobs.com",
 }
 INDUSTRY_WORDS = {
-    "fishing": ("fiskebat", "fiskefartoy", "fiskerikvote", "sjomat", "fiskekvote", "garnfiske"), "grocery_retail": ("dagligvare", "matbutikk", "supermarked", "ukens tilbud", "handlekurv"),
-    "restaurants": ("restaurantmeny", "takeaway", "bordbestilling"), "hospitality": ("hotellrom", "overnatting", "bestill rom", "ledige rom"), "sports_fitness": ("treningssenter", "gruppetimer", "personlig trener"),
-    "software": ("programvare", "saas platform", "skylosning"), "finance": ("bankkonto", "sparekonto", "forsikringsvilkar"), "healthcare": ("legetime", "pasientjournal", "helsetjeneste", "fastlege"),
+    "fishing": ("fiskebat", "fiskefartoy", "fiskerikvote", "fangst av fisk", "sjomat", "fiskekvote", "garnfiske", "tralfiske"), "grocery_retail": ("dagligvare", "matbutikk", "supermarked", "kjedebutikk", "ukens tilbud", "handlekurv"),
+    "restaurants": ("bordbestilling restaurant", "restaurantmeny", "takeaway", "bestill mat na"), "hospitality": ("hotellrom", "overnatting", "bestill rom", "ledige rom", "resepsjon hotell"),
+    "sports_fitness": ("treningssenter", "medlemskap trening", "gruppetimer", "personlig trener"), "software": ("programvare", "saas platform", "api dokumentasjon", "skylosning"),
+    "finance": ("bankkonto", "laan og kreditt", "forsikringsvilkar", "sparekonto"), "healthcare": ("legetime", "pasientjournal", "helsetjeneste", "fastlege"),
 }
 COMPANY_FORMS = "as asa ans da enk iks sa sam sti stiftelsen nuf ab oy aps ltd llc inc gmbh plc spa srl nv bv co corp".split()
 

@@ -31,9 +31,19 @@ BUILDERS = (
     "wix wixstudio wix-com wixcom wix.com squarespace shopify wordpress wordpressdotcom automattic godaddy jimdo weebly webnode mailchimp hubspot elementor wpengine "
     "envato themeforest mystore mystore.no 21st-digital facebook instagram meta"
 ).split()
-#: Words of links that lead to pages worth reading, best first.
-PRIORITY_WORDS = "kontakt contact om about selskap company ansatte people team tjenester services produkter products aktuelt news jobb careers stillinger personvern privacy".split()
-PLACEHOLDER_MARKS = ("domenet er til salgs", "domain is for sale", "under construction", "coming soon", "kommer snart", "parked", "default web page", "index of /")
+# Terms of links that lead to pages worth reading, best first, and marks of parked and placeholder pages.
+PRIORITY_WORDS = (
+    "kontakt", "contact", "om-oss", "om_oss", "about-us", "about", "kontor", "personvern", "privacy", "vilkar", "salgsbetingelser", "kjopsbetingelser", "terms", "impressum", "karriere", "jobb", "careers", "jobs", "nyheter", "aktuelt", "news",
+)
+PARKED_MARKS = (
+    "domain is for sale", "domain for sale", "hugedomains", "parked at", "miss hosting", "her flytter snart en ny gjest", "has been informing visitors", "find the best information and most relevant links on all topics related to",
+    "buy this domain", "this domain is parked", "future home of something quite cool", "does not have an active website here", "currently does not have an active website", "ingen side enda", "har ikke lagt ut noen nettsider",
+    "/cgi-sys/defaultwebpage.cgi", "omdirigeringstjenesten er forbeholdt", "this redirect service is reserved for",
+)
+SERVER_MARKS = ("welcome to nginx!", "apache2 ubuntu default page", "apache2 debian default page", "test page for the apache http server", "default web site page", "web server's default page")
+SOON_MARKS = ("lanseres snart", "kommer snart", "her kommer:", "under construction", "under oppbygging", "coming soon", "nettsiden er under arbeid", "siden er under utvikling", "site under construction")
+HOST_MARKS = ("this one is taken, but you can find another available domain", "hosted by one.com", "index of /", "proudly served by litespeed web server")
+PLACEHOLDER_MARKS = SOON_MARKS + HOST_MARKS
 _SPACE = re.compile(r"\s+")
 
 
@@ -233,7 +243,7 @@ def publication_date(page: str | None) -> str | None:
 def placeholder(text: str | None, links: int = 0) -> bool:
     """A parked or empty page: a mark in a short text with few links of its own; null and blank texts are."""
     low = (text or "").lower()
-    return not low.strip() or (len(low) <= 900 and links <= 3 and any(m in low for m in PLACEHOLDER_MARKS))
+    return not low.strip() or any(m in low for m in PARKED_MARKS + SERVER_MARKS) or (len(low) <= 900 and links <= 3 and any(m in low for m in PLACEHOLDER_MARKS))
 
 
 def feed_items(text: str | None) -> list[tuple[str, str, str]]:

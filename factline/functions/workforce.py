@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 NUMBER = r"(\d{1,3}(?:[ .]\d{3})+|\d{1,6})(?:,\d+)?"
 #: Name and pattern of each measure, in the order in which they are tried; the number is the first group.
 PATTERNS = {
-    "average": rf"(?:gjennomsnittlig antall|gjennomsnittleg tal på|average number of) (?:ansatte|tilsette|employees)\D{{0,30}}?{NUMBER}",
+    "average": rf"(?:gjennomsnittlig antall|gjennomsnittleg tal på|average number of) (?:ansatte|tilsette|employees)(?:\D{{0,30}}?(?:19|20)\d\d)?\D{{0,30}}?{NUMBER}",
     "employees": rf"(?:har|hadde|employs|sysselsetter|sysselset)\s+{NUMBER}\s+(?:ansatte|tilsette|medarbeidere|medarbeidarar|employees|people)",
     "man_years": rf"{NUMBER}\s+årsverk",
     "total": rf"(?:totalt|i alt|in all)\s+{NUMBER}\s+(?:ansatte|tilsette|employees)",

@@ -11,28 +11,38 @@ from pyspark.sql import functions as F
 from ..runtime import bounded_broadcast, materialize
 
 
-#: Parts of a group's range of values in the search for a rank.
+#: Parts of a range of values in the search for a rank, and distinct values that one task may put in order at its end.
 BINS = 1024
+ORDERED = 100_000
 
 
 def nearest_ranks(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """keys, share and the number at the half-even rounded rank share * (n - 1) of a group's ordered values.
 
-    Equal values are counted together first. A histogram of BINS parts of each group's range tells the part that holds
-    a rank, and only the values of that part are ordered, so no task orders a whole group. Nulls don't count.
+    Equal values are counted together first. A histogram of BINS parts of a range tells the part that holds a rank;
+    while that part has more than ORDERED distinct values its own range, from its least value to its greatest, is divided
+    in the same way. So however values are spread (one far off may put all others in one part) no task orders more than
+    that, and each round divides the range by BINS. Only the last parts' values are ordered. Nulls and null keys don't count.
     """
     counts = materialize(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), "counts")
     ranges = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_all"))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (BINS - 1))).otherwise(F.lit(0).cast("long"))
-    parted = counts.join(bounded_broadcast(ranges), list(keys)).withColumn("_part", part)
-    run = parted.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n"), F.first("_all").alias("_all"))
-    run = run.withColumn("_to", F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)))
     wanted = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), (F.bround(F.lit(float(s)) * (F.col("_all") - 1), 0) + 1).alias("rank")) for s in shares]))
-    hit = run.withColumn("_w", wanted).where((F.col("_w.rank") <= F.col("_to")) & (F.col("_w.rank") > F.col("_to") - F.col("_n")))
-    hit = hit.select(*keys, "_part", F.col("_w.share").alias("share"), (F.col("_w.rank") - F.col("_to") + F.col("_n")).alias("_rank"))
-    inner = parted.select(*keys, "_part", value, "_n").join(bounded_broadcast(hit), [*keys, "_part"])
+    state = ranges.withColumn("_w", wanted).select(*keys, F.col("_w.share").alias("share"), F.col("_w.rank").alias("_rank"), "_lo", "_hi")
+    while True:
+        within = counts.join(bounded_broadcast(state), list(keys)).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+        part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (BINS - 1))).otherwise(F.lit(0).cast("long"))
+        parts = within.withColumn("_part", part).groupBy(*keys, "share", "_part").agg(
+            F.sum("_n").alias("_n"), F.count("*").alias("_distinct"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first("_rank").alias("_rank")
+        )
+        parts = parts.withColumn("_to", F.sum("_n").over(W.partitionBy(*keys, "share").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)))
+        hit = parts.where((F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_n")))
+        hit = materialize(hit.select(*keys, "share", (F.col("_rank") - F.col("_to") + F.col("_n")).alias("_rank"), "_lo", "_hi", "_distinct"), "parts")
+        state = hit.drop("_distinct")
+        if (hit.agg(F.max("_distinct")).first()[0] or 0) <= ORDERED:
+            break
+    inner = counts.join(bounded_broadcast(state), list(keys)).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
     upto = F.sum("_n").over(W.partitionBy(*keys, "share").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    found = inner.withColumn("_to", upto).where((F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_n")))
+    found = inner.withColumn("_upto", upto).where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
     return found.select(*keys, "share", value)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import dates, jsons, maths, names, pages
+from ..functions import dates, jsons, marks, maths, names, pages
 from ..functions import text as X
 from ..functions.instants import instant
 from ..operators import choosing
@@ -145,17 +145,17 @@ def link_priority(t) -> DataFrame:
     return best.withColumn("rank", F.col("rank").cast("long"))
 
 
-MARKS_SQL = " OR ".join(f"contains(lower(coalesce(text, '')), '{m}')" for m in pages.PLACEHOLDER_MARKS)
+def _contains(marks_: tuple) -> str:
+    return "(" + " OR ".join("contains(lower(text), '{}')".format(m.replace("'", "''")) for m in marks_) + ")"
 
 
-@query(f"SELECT page_id, trim(coalesce(text, '')) = '' OR (length(text) <= 900 AND coalesce(len(links), 0) <= 3 AND ({MARKS_SQL})) AS placeholder FROM page_fetch WHERE ok")
+@query(f"SELECT page_id, trim(coalesce(text, '')) = '' OR coalesce({_contains(pages.PARKED_MARKS + pages.SERVER_MARKS)}, FALSE) OR coalesce(length(text) <= 900 AND coalesce(len(links), 0) <= 3 AND {_contains(pages.PLACEHOLDER_MARKS)}, FALSE) AS placeholder FROM page_fetch WHERE ok")
 def placeholder_pages(t) -> DataFrame:
-    """Pages that are parked or empty."""
-    low, mark = F.lower(F.coalesce("text", F.lit(""))), F.lit(False)
-    for m in pages.PLACEHOLDER_MARKS:
-        mark = mark | low.contains(m)
-    few = (F.length("text") <= 900) & (F.coalesce(F.size("links"), F.lit(0)) <= 3) & mark
-    return t("page_fetch").where("ok").select("page_id", ((F.trim(low) == "") | F.coalesce(few, F.lit(False))).alias("placeholder"))
+    """Pages that are parked, a server's default, a placeholder or empty."""
+    text = F.col("text")
+    few = (F.length(text) <= 900) & (F.coalesce(F.size("links"), F.lit(0)) <= 3) & marks.any_part(text, pages.PLACEHOLDER_MARKS)
+    empty = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return t("page_fetch").where("ok").select("page_id", (empty | marks.any_part(text, pages.PARKED_MARKS + pages.SERVER_MARKS) | F.coalesce(few, F.lit(False))).alias("placeholder"))
 
 
 @query()
@@ -180,14 +180,17 @@ def page_contacts(t) -> DataFrame:
     return rows.groupBy("host").agg(F.countDistinct("mail").alias("mails"), F.count_if(F.col("mail").endswith(F.concat(F.lit("@"), F.col("host")))).alias("own"))
 
 
-@query("""
-WITH s AS (SELECT site, coalesce(count_if(contains(lower(text), 'gratis')), 0) AS strong, coalesce(count_if(contains(lower(text), 'rabatt')), 0) AS weak, count(*) AS documents FROM documents WHERE site IS NOT NULL GROUP BY 1)
-SELECT site, documents FROM s WHERE strong = 0 AND weak < 2
+def _words(words: tuple) -> str:
+    return f"coalesce(regexp_matches(lower(text), '\\b(?:{'|'.join(words)})\\b'), FALSE)"
+
+
+@query(f"""
+WITH s AS (SELECT site, count_if({_words(marks.SPAM_STRONG)}) AS strong, count_if({_words(marks.SPAM_WEAK)} AND NOT {_words(marks.SPAM_STRONG)}) AS weak, count(*) AS documents FROM documents WHERE site IS NOT NULL GROUP BY 1)
+SELECT site, documents FROM s WHERE coalesce(strong, 0) = 0 AND coalesce(weak, 0) < 2
 """)
 def spam_group_filter(t) -> DataFrame:
-    """Sites without a strong mark and with fewer than two weak ones."""
-    low = F.lower("text")
-    s = t("documents").where("site is not null").groupBy("site").agg(F.count_if(low.contains("gratis")).alias("strong"), F.count_if(low.contains("rabatt")).alias("weak"), F.count("*").alias("documents"))
+    """Sites of which no text has a strong mark of spam and fewer than two have a weak one."""
+    s = t("documents").where("site is not null").select("site", marks.spam(F.col("text")).alias("m")).groupBy("site").agg(F.count_if(F.col("m") == 2).alias("strong"), F.count_if(F.col("m") == 1).alias("weak"), F.count("*").alias("documents"))
     return s.where("strong = 0 and weak < 2").select("site", "documents")
 
 

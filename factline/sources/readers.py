@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gzip
+import os
 from collections.abc import Sequence
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import digits
+from ..runtime import work_path
 
 GZIP_MAGIC = b"\x1f\x8b"
 
@@ -46,20 +49,22 @@ def is_gzip(path: str) -> bool:
         return f.read(2) == GZIP_MAGIC
 
 
-def bulk_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, local: bool = False) -> DataFrame:
+def bulk_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, local: bool = False, multi_line: bool = False) -> DataFrame:
     """A bulk register file with every column as text; names may hold dots and are matched in any case.
 
-    Spark takes the codec from the extension, so a local gzip file under another name is linked under one that ends
-    in .gz. Columns that the file lacks are null.
+    Plain files are read in parts, as no value of the register holds a line break; multi_line reads files that have such
+    values, each in one task. Spark takes the codec from the extension, so a local gzip file under another name is linked
+    in the shared folder under one that ends in .gz. Columns that the file lacks are null.
     """
     if local and is_gzip(path) and not path.endswith(".gz"):
-        import os
-        import tempfile
-
-        link = os.path.join(tempfile.mkdtemp(), "bulk.csv.gz")
+        folder = urlparse(work_path(spark, "bulk"))
+        if folder.scheme not in ("", "file"):
+            raise ValueError("a file under another name than .gz can be linked on a local or mounted file system only")
+        os.makedirs(folder.path)
+        link = os.path.join(folder.path, "bulk.csv.gz")
         os.symlink(os.path.abspath(path), link)
-        path = link
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"')
+        path = f"file://{link}"
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"')
     if columns is None:
         return rows
     have = {c.lower(): c for c in rows.columns}

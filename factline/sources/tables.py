@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table of that name; column pruning and filters reach the parquet scan."""
+    """The table of that name; column pruning and filters reach the parquet scan. Workers get the package with the first."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -93,7 +93,8 @@ def test_pages():
     assert pages.description(PAGE) == "Vi selger fisk" and pages.brand(PAGE) == "Nordlaks AS" and pages.publication_date(PAGE) == "2024-02-03"
     assert pages.social_links(PAGE) == [("facebook", "https://facebook.com/nordlaks"), ("linkedin", "https://linkedin.com/company/nordlaks")]
     assert pages.mails(PAGE, "nordlaks.no") == ["post@nordlaks.no"]
-    assert pages.placeholder(None) and pages.placeholder("Domain is for sale", 1) and not pages.placeholder("Domain is for sale" + "x" * 900)
+    assert pages.placeholder(None) and pages.placeholder("Domain is for sale", 1) and pages.placeholder("Domain is for sale" + "x" * 900)
+    assert pages.placeholder("Coming soon", 1) and not pages.placeholder("Coming soon" + "x" * 900) and not pages.placeholder("Coming soon", 9)
 
 
 @pytest.mark.parametrize(
@@ -124,3 +125,20 @@ def test_names():
     assert names.staff_count("Selskapet har 1 234 ansatte i 2020") == ("found", 1234.0, "employees") and names.staff_count("12 årsverk") == ("found", 12.0, "full_time_equivalents")
     assert names.staff_count("5 ansatte, senere 7 ansatte")[0] == "conflict" and names.staff_count(None)[0] == "none"
     assert names.site_guesses("Blå Fisk Nord AS")[:4] == ["blafisknord", "bla-fisk-nord", "blafisk", "bla-fisk"] and "blaafisknord" in names.site_guesses("Blå Fisk Nord AS")
+
+
+def test_a_verbatim_piece_is_whole():
+    value = "x" * 5000
+    assert jsons.piece('{"a": "' + value + '"}', "$.a") == f'"{value}"'
+    assert jsons.piece('{"a": "' + value + '"}', "$.a", limit=10) == '"' + "x" * 9
+
+
+def test_workforce_patterns(spark):
+    from factline.functions.workforce import workforce
+
+    texts = {
+        "Selskapet har 1 250 ansatte og mer.": ("stated", "employees", 1250), "Gjennomsnittlig antall ansatte i 2023 var 12,5": ("stated", "average", 12), "Vi har 4 ansatte. Avdelingen har 9 ansatte.": ("conflict", "employees", None),
+        "Totalt 7 ansatte": ("stated", "total", 7), "Utført 3,5 årsverk": ("stated", "man_years", 3), "Det er ingen ansatte her": ("none", "nobody", 0), "Siden 1999 har 2019 ansatte byttet": ("unknown", None, None), "": ("unknown", None, None), None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", workforce(F.col("t")).alias("w")).collect()
+    assert {r.t: None if r.w is None else tuple(r.w) for r in rows} == texts

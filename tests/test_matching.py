@@ -127,3 +127,12 @@ def test_no_child_is_left_out(spark):
     tables["customer"] = spark.createDataFrame([(1, "x", 1, 9500.0), (2, "y", 1, -3.0), (3, "z", 2, 0.0), (4, "x", 1, None)], "c_custkey int, c_name string, c_nationkey int, c_acctbal double")
     got = {tuple(r) for r in matching_queries.children_of_parents(tables.get).collect()}
     assert got == {("A", "x", 1, 3), ("A", "y", 2, 3), ("A", "x", 4, 3), ("B", "z", 3, 1)}
+
+
+def test_nearest_ranks_with_a_value_far_off(spark, monkeypatch):
+    monkeypatch.setattr(stats, "ORDERED", 5)
+    values = [float(i) / 7 for i in range(2000)] + [1e12]
+    df = spark.createDataFrame([("g", v) for v in values] + [("h", 1.0)] * 9, "g string, v double")
+    got = {(r.g, r.share): r.v for r in stats.nearest_ranks(df, ["g"], "v", [0.0, 0.5, 0.95, 1.0]).collect()}
+    for share in (0.0, 0.5, 0.95, 1.0):
+        assert got["g", share] == sorted(values)[round(share * (len(values) - 1))] and got["h", share] == 1.0
