@@ -102,7 +102,7 @@ def refresh_history(t) -> DataFrame:
     return rows.groupBy("family", "first_seen", "last_seen").agg(F.count("*").alias("claims"), gap.alias("interrupted"), F.max("statuses").alias("most_statuses"))
 
 
-@query()
+@query(f"SELECT snapshot_no, change_type, count(*) AS changes, count(DISTINCT org) AS organisations, count(DISTINCT (org, family, field, value_key)) AS ids FROM ({catalog.sql['refresh_diff']}) GROUP BY 1, 2")
 def change_summary(t) -> DataFrame:
     """Changes of every run by type with the organisations concerned, most frequent first."""
     found = refresh.changes(*runs(t), by=["snapshot_no"])
