@@ -326,7 +326,7 @@ def main_body(pages: DataFrame) -> DataFrame:
     rows = pages.where("text is not null and text <> '' and page_id is not null").select("page_id", "host", "html", "text", "title")
     rows = materialize(rows.mapInPandas(_read, _PAGES), "page-lines")
     by_host, total = testimony(rows)
-    pieces = rows.select("page_id", "host", F.explode("pieces").alias("p")).select("page_id", "host", "p.line", "p.form", "p.size")
+    pieces = rows.select("page_id", "host", F.posexplode("pieces").alias("k", "p")).select("page_id", "host", "k", "p.line", "p.form", "p.size")
     pieces = hot_join(pieces, total, "form")
     at = F.xxhash64("form", F.coalesce("host", F.lit("")))
     own = by_host.select(at.alias("at"), "i", "o", "ii", "oo")
@@ -335,5 +335,6 @@ def main_body(pages: DataFrame) -> DataFrame:
     i = F.col("ti") - F.when(F.col("ii"), 0).otherwise(F.coalesce("i", F.lit(0)))
     o = F.col("to") - F.when(F.col("oo"), 0).otherwise(F.coalesce("o", F.lit(0)))
     lost = F.col("size") * o / (o + i + F.lit(PRIOR))
-    known = scored.select("page_id", "line", lost.alias("lost")).where("lost > 0").groupBy("page_id").agg(F.collect_list(F.struct("line", "lost")).alias("known"))
+    known = scored.select("page_id", "k", "line", lost.alias("lost")).where("lost > 0")
+    known = known.groupBy("page_id").agg(F.collect_set(F.struct("k", "line", "lost")).alias("known"))  # a page that is there twice counts once
     return rows.drop("pieces").join(known, "page_id", "left").mapInPandas(_windows, "page_id long, line_no int").distinct()
