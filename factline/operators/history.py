@@ -150,7 +150,8 @@ def name_history(register: DataFrame) -> DataFrame:
     that was shown for the last time (changed or deleted), and the start and end of a former name when it is first
     listed. Lists that lack a former name later delete nothing. Where a former name's dates fall between the appearance
     and the end of a present name, that name goes on after them, from the next snapshot that shows it. Neighbours on
-    the line with one name are one period, and ``lead`` gives each its end. A former name with neither date stands just
+    the line with one name are one period, and ``lead`` gives each its end. Events that open a name before the last one is
+    closed are no differences, and raise an error. A former name with neither date stands just
     before the first snapshot that lists it.
     """
     found = name_events(register)
@@ -169,7 +170,10 @@ def name_history(register: DataFrame) -> DataFrame:
     events = events.groupBy("org", "e.name", "e.at", own.alias("own"), F.col("e.opens").alias("opens")).agg(F.min("e.shown").alias("shown"), F.first("shows").alias("shows"), F.first("reg").alias("reg"))
     line = W.partitionBy("org").orderBy("at", "shown", "name", F.col("opens").isNull())  # a start before the end of one snapshot
     state = F.struct(F.col("opens").alias("name"))
-    events = events.withColumn("_open", F.last(F.when(F.col("own"), state), ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0))["name"]).withColumn("_next", F.lead("at").over(line))
+    last = F.last(F.when(F.col("own"), state), ignorenulls=True)
+    events = events.withColumn("_open", last.over(line.rowsBetween(W.unboundedPreceding, 0))["name"]).withColumn("_was", last.over(line.rowsBetween(W.unboundedPreceding, -1))["name"]).withColumn("_next", F.lead("at").over(line))
+    twice = F.col("opens").isNotNull() & F.col("_was").isNotNull()  # differences close a name before they open one
+    events = events.withColumn("opens", F.when(twice, F.raise_error(F.lit("a name is opened while one is open: these are no differences of snapshots"))).otherwise(F.col("opens")))
     between = F.filter("shows", lambda s: (_at(s, 1) > F.col("at")) & (F.col("_next").isNull() | (_at(s, 1) < F.col("_next"))))
     goes_on = F.when(F.col("_open").isNotNull() & (F.size(between) > 0), F.struct(F.lit(1).alias("sub"), F.col("_open").alias("name"), F.array_min(between).alias("first"), F.array_max(between).alias("last"), F.array_min(between).alias("shown")))
     itself = F.struct(F.lit(0).alias("sub"), F.col("name"), F.col("at.day").alias("first"), F.col("at.day").alias("last"), F.col("shown"))
