@@ -9,8 +9,9 @@ which functions depend on each other; its posterior is the confidence of a match
 
 What votes look like on others is anchored by two sets of pairs that are taken as no matches, as all but a vanishing
 part of them are: strangers, which a hash brings together, about one pair for each profile; and rivals, which share a
-rare word but have different sites, one pair for each word. Either set weighs half as much as all candidates. The model is fitted on the counts of vote patterns, at most twice 3 to the power of the number of functions rows, which is
-all that the driver gets. A record without a town takes the only town known for its site, number, social page or full
+rare word but have different sites, one pair for each word. Either set weighs half as much as all candidates. The model is fitted on the counts of vote patterns, at most 3 to the power of the number of functions rows, which is
+all that the driver gets. In blocks of more than BLOCK profiles it is fitted on the pairs with a second key in common only;
+all others are voted on and graded as well, with a share of matches of their own. A record without a town takes the only town known for its site, number, social page or full
 name, or where none of them tells a town the only one of the names near its own; if there are several it stays unknown
 and can only match records whose town is unknown too.
 
@@ -44,9 +45,11 @@ COMMON_OTHERS, COMMON_OTHERS_PART = 8, 0.4
 SAME_PART, SAME_SITES = 0.4, 3
 #: A host lists others if no word of its own is in more than this part of the names found with it, and it has so many names.
 LISTS_PART, LISTS_NAMES = 0.3, 8
-#: Profiles of a block beyond which its pairs need a second key in common.
+#: Profiles of a block beyond which pairs without a second key in common are graded, but the model isn't fitted on them.
 BLOCK = 200
-#: Towns that may be looked for at the end of names; more would be no list to send to the workers.
+#: Profiles of a block that are paired in one part with the others; those of a larger block are spread over more parts.
+PART = 500
+#: Towns that may be looked for at the end of names; more would be no list to send to the workers. More directories are a table.
 MAX_TOWNS = 50_000
 THRESHOLD = 0.5
 
@@ -54,14 +57,19 @@ THRESHOLD = 0.5
 class Vocabulary:
     """What the records tell of words and hosts: common words, each with the one that stands for it, and hosts that list others.
 
-    Its size is bounded: a common word is found on at least COMMON_PART of all sites, and a directory has LISTS_NAMES names.
+    Its size is bounded: a common word is found on at least COMMON_PART of all sites, and of more than MAX_TOWNS directories
+    all are in the table many (host), which workers don't get.
     """
 
-    def __init__(self, common: dict[str, str] | None = None, directories: frozenset[str] = frozenset()):
+    def __init__(self, common: dict[str, str] | None = None, directories: frozenset[str] = frozenset(), many: DataFrame | None = None):
         self.common = common or {}
         self.directories = directories
+        self.many = many
         self._known: dict[str, str] = {}
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "many": None}
+
     def standard(self, word: str) -> str:
         """The common word that a word is, or is an abbreviation or a misspelling of; '' for fillers; else the word."""
         if word in FILLERS or len(word) < 2:
@@ -148,16 +156,18 @@ def learn(rows: DataFrame, towns: frozenset[str]) -> Vocabulary:
     whole = named.groupBy("host").agg(F.count("*").alias("names"))
     most = in_names.groupBy("host").agg(F.max("n").alias("most"))
     lists = whole.where(F.col("names") >= LISTS_NAMES).join(most, "host").where(F.col("most") < F.col("names") * LISTS_PART)
-    directories = frozenset(r["host"] for r in lists.orderBy(F.desc("names"), "host").limit(MAX_TOWNS).collect())
-    own = in_names.join(lists.select("host"), "host", "left_anti")
+    lists = materialize(lists.select("host"), "directories")
+    hosts = frozenset(r["host"] for r in lists.limit(MAX_TOWNS + 1).collect())
+    directories, all_of_them = (hosts, None) if len(hosts) <= MAX_TOWNS else (frozenset(), lists)
+    own = in_names.join(lists, "host", "left_anti")
     least = max(COMMON_SITES, whole.count() * COMMON_PART)
     sites = {r["word"]: r["n"] for r in own.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}  # at most words per site / COMMON_PART
     for r in varied.collect():  # each of them is in a part of COMMON_PART of all names at least
         sites.setdefault(r["word"], 0)
     if not sites:
-        return Vocabulary({}, directories)
+        return Vocabulary({}, directories, all_of_them)
     counts = bounded_broadcast(rows.sparkSession.createDataFrame(list(sites), "string").withColumnRenamed("value", "word"))
-    common = by_word.join(lists.select("host"), "host", "left_anti").join(counts, "word")
+    common = by_word.join(lists, "host", "left_anti").join(counts, "word")
     per_site = common.groupBy("host").agg(F.collect_set("word").alias("w"))
     pairs = per_site.select(F.explode("w").alias("x"), "w").select("x", F.explode("w").alias("y")).where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))
     together = common.groupBy("host", "words").agg(F.collect_set("word").alias("w")).select(F.explode("w").alias("x"), "w").select("x", F.explode("w").alias("y")).where("x < y").groupBy("x", "y").agg(F.count("*").alias("both"))
@@ -167,7 +177,7 @@ def learn(rows: DataFrame, towns: frozenset[str]) -> Vocabulary:
         few, many = sorted((r["x"], r["y"]), key=lambda w: (sites[w], w))
         if r["n"] >= SAME_PART * sites[few] and stands[few] == few:
             stands[few] = stands[many]
-    return Vocabulary(stands, directories)
+    return Vocabulary(stands, directories, all_of_them)
 
 
 def same_word(a: str, b: str, v: Vocabulary) -> bool:
@@ -202,7 +212,18 @@ def profiles(rows: DataFrame, towns: frozenset[str], v: Vocabulary) -> DataFrame
                 out.append((src, key, "|".join(feature), *feature))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PROFILE.split(", ")])
 
-    return rows.mapInPandas(run, _PROFILE)
+    out = rows.mapInPandas(run, _PROFILE)
+    return out if v.many is None else _without_hosts(materialize(out, "with-directories"), v.many)
+
+
+def _without_hosts(profile: DataFrame, hosts: DataFrame) -> DataFrame:
+    """profile rows whose site lacks the hosts of a table."""
+    each = materialize(profile.where("site <> ''").select("site").distinct().select("site", F.explode(F.split("site", " ")).alias("host")), "sites")
+    own = hot_join(each, hosts.withColumn("listed", F.lit(True)), "host", how="left").where("listed is null")
+    kept = own.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("host")), " ").alias("kept"))
+    out = hot_join(profile, kept, "site", how="left").withColumn("site", F.coalesce("kept", F.lit("")))
+    names = [c.split()[0] for c in _PROFILE.split(", ")]
+    return out.withColumn("profile", F.concat_ws("|", *names[3:])).select(*names)
 
 
 def company_keys(sites: str, orgnr: str, social: str, name: str, v: Vocabulary) -> list[str]:
@@ -214,32 +235,40 @@ def company_keys(sites: str, orgnr: str, social: str, name: str, v: Vocabulary)
     return keys
 
 
-def word_keys(name: str, v: Vocabulary) -> list[str]:
+def cut_keys(name: str, v: Vocabulary) -> dict[str, str]:
     """Words that aren't common, and long ones with each letter left out, so that words one letter apart share a key;
-    a name of common words only is a key as a whole."""
+    a name of common words only is a key as a whole. With each key the first place of the letter left out and the letter:
+    of one key they are the same only for the same word. '' for a whole word, and where several words give the key."""
     words = name.split()
     own = v.rare(words)
-    out = {"w:" + w for w in own} or ({"w:" + " ".join(sorted(set(words)))} if words else set())
+    out = dict.fromkeys(("w:" + w for w in own), "") or ({"w:" + " ".join(sorted(set(words))): ""} if words else {})
     for w in own:
-        if len(w) >= 5:
-            out.update("w:" + w[:i] + w[i + 1 :] for i in range(len(w)))
-    return sorted(out)
+        for i in range(len(w) if len(w) >= 5 else 0):
+            if not i or w[i] != w[i - 1]:
+                key, cut = "w:" + w[:i] + w[i + 1 :], f"{i}{w[i]}"
+                out[key] = cut if out.get(key, cut) == cut else ""
+    return out
+
+
+def word_keys(name: str, v: Vocabulary) -> list[str]:
+    """The keys of cut_keys alone."""
+    return sorted(cut_keys(name, v))
 
 
 def _keyed(profile: DataFrame, words: bool, v: Vocabulary) -> DataFrame:
-    """profile, src, town, key."""
+    """profile, src, town, key and what was cut from a word for it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for p, src, town, name, host, orgnr, social in b.itertuples(index=False, name=None):
-                keys = company_keys(host, orgnr, social, name, v)
+                keys = dict.fromkeys(company_keys(host, orgnr, social, name, v), "")
                 if words and town:
-                    keys += word_keys(name, v)
-                out += [(p, src, town, k) for k in keys]
-            yield pd.DataFrame(out, columns=["profile", "src", "town", "block"])
+                    keys |= cut_keys(name, v)
+                out += [(p, src, town, k, cut) for k, cut in keys.items()]
+            yield pd.DataFrame(out, columns=["profile", "src", "town", "block", "cut"])
 
-    return profile.select("profile", "src", "town", "name", "site", "orgnr", "social").mapInPandas(run, "profile string, src string, town string, block string")
+    return profile.select("profile", "src", "town", "name", "site", "orgnr", "social").mapInPandas(run, "profile string, src string, town string, block string, cut string")
 
 
 def _named(names: DataFrame, v: Vocabulary) -> DataFrame:
@@ -440,6 +469,27 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
 
 
+    def among(self, patterns: np.ndarray, counts: np.ndarray, most: float = 1.0, rounds: int = 1000) -> np.ndarray:
+        """The posterior of patterns among other pairs, so many of each: functions vote as they do on candidates, but the
+        share of matches is that of these pairs, fitted by expectation maximisation, and at most most or the candidates'."""
+        first = self._posterior(patterns.astype(int) + 1)
+        most = max(1e-12, min(self.share, most))
+        log = np.log(np.clip(first, 1e-22, 1)) - np.log(np.clip(1 - first, 1e-22, 1)) - np.log(self.share / (1 - self.share))
+        share = most
+        for _ in range(rounds):
+            post = 1 / (1 + np.exp(-np.clip(log + np.log(share / (1 - share)), -50, 50)))
+            before, share = share, min(most, ((counts * post).sum() + 1) / (counts.sum() + 2))
+            if not counts.sum() or abs(before - share) < 1e-9:
+                break
+        return post
+
+
+def calibrated(post: np.ndarray, factor: float) -> np.ndarray:
+    """Posteriors whose log odds are scaled."""
+    odds = np.log(np.clip(post, 1e-15, 1 - 1e-15)) - np.log(np.clip(1 - post, 1e-15, 1 - 1e-15))
+    return 1 / (1 + np.exp(-factor * odds))
+
+
 FROM_NAMES = ("name", "exact", "grams", "rare", "trade")
 
 
@@ -473,25 +523,47 @@ def _row(model: LabelModel, f: int, c: int, x: np.ndarray) -> np.ndarray:
     return model.tables[f][c][x[:, p] + 1 if p >= 0 else np.zeros(len(x), int), x[:, f] + 1]
 
 
-def _candidates(profile: DataFrame, v: Vocabulary, block: int = BLOCK) -> DataFrame:
+def _blocks(profile: DataFrame, v: Vocabulary, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (at, block, cut, src, id) of all blocks, and the blocks (at) of more than block profiles, None if there are none."""
+    keys = _keyed(profile.select(F.col("id").cast("string").alias("profile"), "src", "town", "name", "site", "orgnr", "social"), True, v)
+    keys = materialize(keys.withColumn("at", F.concat_ws("@", "block", "town")).select("at", "block", "cut", "src", F.col("profile").cast("long").alias("id")), "blocks")
+    large = materialize(keys.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > block).select("at"), "large-blocks")
+    return keys, None if large.isEmpty() else large
+
+
+def _paired(keys: DataFrame) -> DataFrame:
+    """a, b: pairs of profile numbers of different tables in one block (several times if they share several).
+
+    Profiles with the same word meet at that word and not again at each key cut from it. Large blocks are spread.
+    """
+    left = keys.where("src <> 'place'").select("at", F.col("cut").alias("ca"), F.col("src").alias("sa"), F.col("id").alias("a"))
+    right = keys.where("src <> 'ad'").select("at", F.col("cut").alias("cb"), F.col("src").alias("sb"), F.col("id").alias("b"))
+    pairs = hot_join(left, right, "at", hot_keys(left, "at", PART))
+    return pairs.where("sa < sb and (ca = '' or cb = '' or ca <> cb)").select("a", "b")
+
+
+def _candidates(profile: DataFrame, v: Vocabulary, block: int = BLOCK, blocks: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
     """a, b: pairs of profile numbers of different tables that share a town and a key, or a near name if both towns are unknown.
 
-    In a block of more than block profiles a key alone brings too many together: there a second key in common is asked
-    for, so each block is parted by the other keys of its profiles (and one that has no other is paired by its whole name).
+    In a block of more than block profiles nearly all pairs are no matches, and the model would take what they have in
+    common for a match: there a second key in common is asked for, so each block is parted by the other keys of its
+    profiles (and one that has no other is paired by its whole name). The pairs left out are those of _crowded.
     """
-    keys = _keyed(profile.select(F.col("id").cast("string").alias("profile"), "src", "town", "name", "site", "orgnr", "social"), True, v)
-    keys = materialize(keys.withColumn("at", F.concat_ws("@", "block", "town")).select("at", "block", "src", F.col("profile").cast("long").alias("id")), "blocks")
-    large = materialize(keys.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > block).select("at"), "large-blocks")
-    if not large.isEmpty():
+    keys, large = blocks or _blocks(profile, v, block)
+    if large is not None:
         crowded = hot_join(keys, large, "at")
         second = keys.where("block not like 'w:%'").select("id", F.col("block").alias("more"))
         words = profile.where("name <> ''").select("id", F.explode(F.split("name", " ")).alias("more")).unionByName(profile.where("name <> ''").select("id", F.concat(F.lit("n:"), F.array_join(F.array_sort(F.split("name", " ")), " ")).alias("more")))
         parted = crowded.join(second.unionByName(words).distinct(), "id").where("block <> more and not (block like 'w:%' and levenshtein(substr(block, 3), more) <= 1)")
-        parted = parted.select(F.concat_ws("&", "at", "more").alias("at"), "src", "id")
-        keys = materialize(keys.join(bounded_broadcast(large), "at", "left_anti").select("at", "src", "id").unionByName(parted).distinct(), "parted-blocks")
-    left = keys.select("at", F.col("src").alias("sa"), F.col("id").alias("a"))
-    right = keys.where("src <> 'ad'").select("at", F.col("src").alias("sb"), F.col("id").alias("b"))
-    return hot_join(left, right, "at").where("sa < sb").select("a", "b").unionByName(_near_without_town(profile, v)).distinct()
+        parted = parted.select(F.concat_ws("&", "at", "more").alias("at"), F.lit("").alias("cut"), "src", "id")
+        keys = materialize(keys.join(bounded_broadcast(large), "at", "left_anti").select("at", "cut", "src", "id").unionByName(parted).distinct(), "parted-blocks")
+    return _paired(keys).unionByName(_near_without_town(profile, v)).distinct()
+
+
+def _crowded(blocks: tuple[DataFrame, DataFrame | None]) -> DataFrame | None:
+    """a, b: all pairs of the large blocks, with a second key in common or not; None if no block is large."""
+    keys, large = blocks
+    return None if large is None else _paired(materialize(hot_join(keys, large, "at"), "crowded")).distinct()
 
 
 def _near_without_town(profile: DataFrame, v: Vocabulary) -> DataFrame:
@@ -538,6 +610,11 @@ def _count_votes(pairs: DataFrame, v: Vocabulary) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long, kind string, pattern string")
 
 
+def matches_expected(found: float, profiles: int, blocks: tuple[DataFrame, DataFrame]) -> float:
+    """How many matches the profiles of large blocks have if they have as many as any: of so many profiles, so many are found."""
+    return found / max(1, profiles) * blocks[0].join(blocks[1], "at", "left_semi").select("id").distinct().count()
+
+
 def link(rows: DataFrame, towns: frozenset[str], threshold: float = THRESHOLD) -> DataFrame:
     """key_1, key_2 (the smaller first) and confidence of records of different tables that match.
 
@@ -549,7 +626,10 @@ def link(rows: DataFrame, towns: frozenset[str], threshold: float = THRESHOLD) -
     records = materialize(profiles(rows, towns, v), "records")
     distinct = records.groupBy("src", "profile").agg(*[F.first(c).alias(c) for c in ("name", "town", "site", "orgnr", "social")])
     settled = materialize(settle_towns(distinct, v).withColumn("id", F.xxhash64("src", "profile")), "profiles")
-    pairs = _candidates(settled, v).withColumn("kind", F.lit("candidate"))
+    blocks = _blocks(settled, v, BLOCK)
+    pairs, crowded = _candidates(settled, v, blocks=blocks).withColumn("kind", F.lit("candidate")), _crowded(blocks)
+    if crowded is not None:
+        pairs = pairs.unionByName(crowded.withColumn("kind", F.lit("crowded"))).groupBy("a", "b").agg(F.min("kind").alias("kind"))  # a candidate is none of the rest
     pairs = pairs.unionByName(_strangers(settled).withColumn("kind", F.lit("stranger"))).unionByName(_rivals(settled, v).withColumn("kind", F.lit("rival")))
     pairs = materialize(pairs, "pairs")
     hot = {s: hot_keys(pairs, s) for s in ("a", "b")}
@@ -558,19 +638,24 @@ def link(rows: DataFrame, towns: frozenset[str], threshold: float = THRESHOLD) -
         side = settled.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("name", "site", "orgnr", "social", "seen")])
         compared = hot_join(compared, side, s, hot[s])
     voted = materialize(_count_votes(compared, v), "votes")
-    kinds = ("candidate", "stranger", "rival")
+    kinds = ("candidate", "stranger", "rival", "crowded")
     counted = voted.groupBy("pattern").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
     counts = sorted(counted.collect())  # at most 3 ** len(FUNCTIONS) rows
-    n = np.array([[r[k] for k in kinds] for r in counts], float).reshape(-1, 3)
-    if not n[:, 0].sum():
+    n = np.array([[r[k] for k in kinds] for r in counts], float).reshape(-1, len(kinds))
+    if not n[:, [0, 3]].sum():
         return spark.createDataFrame([], "key_1 string, key_2 string, confidence double")
+    if not n[:, 0].sum():  # nothing but large blocks
+        n[:, 0] = n[:, 3]
     x = np.array([["-0+".index(c) - 1 for c in r["pattern"]] for r in counts])
     others = sum(n[:, i] * n[:, 0].sum() / 2 / max(1.0, n[:, i].sum()) for i in (1, 2))
-    model = LabelModel(x, n[:, 0], others)
-    odds = np.log(np.clip(model.post, 1e-15, 1 - 1e-15)) - np.log(np.clip(1 - model.post, 1e-15, 1 - 1e-15))
-    sure = 1 / (1 + np.exp(-calibration(x, n[:, 0], model) * odds))
-    graded = spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(counts, sure, strict=True)], "pattern string, confidence double")
-    good = voted.where("kind = 'candidate'").join(bounded_broadcast(graded.where(F.col("confidence") >= threshold)), "pattern").select("a", "b", "confidence")
+    fitted = n[:, :3].sum(axis=1) > 0
+    model = LabelModel(x[fitted], n[fitted, 0], others[fitted])
+    factor = calibration(x[fitted], n[fitted, 0], model)
+    sure = model._posterior(x + 1)
+    most = 1.0 if crowded is None else matches_expected(n[:, 0] @ sure, settled.count(), blocks) / max(1.0, n[:, 3].sum())
+    graded = [(r["pattern"], kind, float(p)) for kind, post in (("candidate", sure), ("crowded", model.among(x, n[:, 3], most))) for r, p in zip(counts, calibrated(post, factor), strict=True)]
+    sure = bounded_broadcast(spark.createDataFrame(graded, "pattern string, kind string, confidence double").where(F.col("confidence") >= threshold))
+    good = voted.join(sure, ["pattern", "kind"]).select("a", "b", "confidence")
     names = materialize(records.select(F.xxhash64("src", "profile").alias("id"), "key").distinct(), "keys")
     good = hot_join(good, names.select(F.col("id").alias("b"), F.col("key").alias("key_b")), "b", hot["b"])
     good = hot_join(names.select(F.col("id").alias("a"), F.col("key").alias("key_a")), good, "a")

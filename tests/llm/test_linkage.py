@@ -56,6 +56,71 @@ def test_large_blocks_ask_for_a_second_key(spark):
     assert {frozenset((2 * i, 2 * i + 1)) for i in range(30)} | {frozenset((100, 101))} <= got and len(got) < 200
 
 
+def test_every_pair_of_a_large_block_is_found(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abdefgik") for _ in range(9)) for _ in range(240)]
+    rows = [(i, ("ad", "place")[i % 2], "hirkas", f"solberg {words[i]}", "", "", "") for i in range(240)] + [(1000 + i, "ad", "hirkas", "", "kjopesenter.no", "", "") for i in range(210)] + [(2000, "osm", "hirkas", "", "kjopesenter.no", "", "")]
+    profile = spark.createDataFrame(rows, "id long, src string, town string, name string, site string, orgnr string, social string").cache()
+    want = {(i, j) for i in range(0, 240, 2) for j in range(1, 240, 2)} | {(1000 + i, 2000) for i in range(210)}
+    got = [tuple(r) for r in L._crowded(L._blocks(profile, V, L.BLOCK)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    monkeypatch.setattr(L, "PART", 7)
+    assert {tuple(r) for r in L._crowded(L._blocks(profile, V, L.BLOCK)).collect()} == want
+    assert L._crowded(L._blocks(profile, V, 300)) is None
+
+
+def test_links_of_a_large_block_with_one_key_are_found(spark):
+    rows, truth = tables()
+    for src, key, _, _, urls, *_ in rows[:]:
+        if src == "ad" and int(key[1:]) % 3 == 1:  # without a name
+            rows.append(("osm", f"n{key[1:]}", None, None, urls, None, None))
+            truth.add((key, f"n{key[1:]}"))
+    one = {(f"x{i}", "y") for i in range(230)}
+    rows += [("ad", a, "Gohudra", "Hirkås", ["gohudra.example"], f"8{i:08d}", None) for i, (a, _) in enumerate(sorted(one))] + [("osm", "y", None, None, ["gohudra.example"], None, None)]
+    got = {(r.key_1, r.key_2) for r in L.link(spark.createDataFrame(rows, SCHEMA), TOWNS).collect()}
+    assert one <= got and len(got & truth) / len(truth) > 0.95
+
+
+def test_a_large_block_of_strangers_has_no_links(spark):
+    rng = random.Random(8)
+    stems = ["".join(rng.choice(["ka", "lo", "mi", "ne", "ru", "sti", "vo", "fje", "bra"]) for _ in range(5)) for _ in range(300)]
+    rows, truth = tables()
+    rows += [(src, f"{src}{i}", f"Solberg {s}", "Hirkås", [], None, None) for i, s in enumerate(stems) for src in ("ad", "place")]
+    got = {(r.key_1, r.key_2) for r in L.link(spark.createDataFrame(rows, SCHEMA), TOWNS).collect()}
+    truth |= {(f"ad{i}", f"place{i}") for i in range(300)}
+    assert len(got & truth) / len(truth) > 0.95 and len(got & truth) / len(got) > 0.9
+
+
+def test_shares_of_matches_are_those_of_the_pairs():
+    x = np.array([[1, 1], [1, -1], [-1, 1], [-1, -1]])
+    model = L.LabelModel(x, np.array([450.0, 50.0, 50.0, 450.0]), np.zeros(4))
+    few, some = model._posterior(x + 1), model.among(x, np.array([1.0, 100, 100, 9000]))
+    assert (some < few).all() and (model.among(x, np.array([1.0, 100, 100, 9000]), 1e-6) < some).all()
+    assert np.allclose(model.among(x, np.zeros(4)), few)
+
+
+def test_candidates_are_the_pairs_that_share_a_key(spark):
+    rng = random.Random(5)
+    names = [" ".join("".join(rng.choice("aabk") for _ in range(rng.randint(3, 6))) for _ in range(rng.randint(1, 2))) for _ in range(150)]
+    rows = [(i, ("ad", "osm", "place")[i % 3], ("hirkas", "velmemo")[i % 2], n, f"{n[:3]}.no" if i % 4 == 0 else "", "", "") for i, n in enumerate(names)]
+    keys = {r[0]: set(L.word_keys(r[3], V)) | set(L.company_keys(r[4], "", "", r[3], V)) for r in rows}
+    want = {(r[0], s[0]) for r in rows for s in rows if r[1] < s[1] and r[2] == s[2] and keys[r[0]] & keys[s[0]]}
+    profile = spark.createDataFrame(rows, "id long, src string, town string, name string, site string, orgnr string, social string").cache()
+    got = L._candidates(profile, V).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {tuple(r) for r in L._candidates(profile, V, 5).unionByName(L._crowded(L._blocks(profile, V, 5))).collect()} == want
+
+
+def test_all_directories_are_left_out_however_many(spark, monkeypatch):
+    rows = [(f"Firma{i:02d} {w}", [f"https://{d}.no/x" for d in ("katalog", "lister", "oversikt")] + [f"firma{i:02d}.no"]) for i in range(30) for w in (["Elektro", "Frisør", "Hotell", "Bakeri", "Sjømat"][i % 5],)]
+    table = spark.createDataFrame([("ad", n, n, "Hirkås", urls, None, None) for n, urls in rows] + [("osm", "o", "Firma", None, ["katalog.no"], None, None), ("place", "p", None, None, None, None, None)], SCHEMA)
+    read = lambda: sorted(map(tuple, L.profiles(table, TOWNS, L.learn(table, TOWNS)).collect()))
+    want = read()
+    assert {r[5] for r in want} == {"", *(f"firma{i:02d}.no" for i in range(30))}
+    monkeypatch.setattr(L, "MAX_TOWNS", 2)
+    assert read() == want
+
+
 def test_label_model_learns_accuracies():
     rng = np.random.default_rng(0)
     n, accuracy = 4000, np.array([0.95, 0.9, 0.8, 0.7, 0.6])
